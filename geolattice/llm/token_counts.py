@@ -8,11 +8,13 @@ each document, and sums. Ids of a document are never built, and nothing is shuff
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -75,19 +77,20 @@ def count_tokens(docs: DataFrame, model_path: str, *, text_col: str = "text", li
 
     common.ship(docs.sparkSession)
     model = common.vocabulary(docs.sparkSession, model_path)
-    kept = [f for f in docs.schema.fields if f.name not in ("n_bytes", "n_tokens", "over_limit")]
+    # The text goes to the workers, last, and does not come back.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
+    size = F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes")
+    inner = docs.select(*others, size, F.col(f"`{text_col}`").alias("__text"))
+    kept = inner.schema.fields[:-1]
+    schema = T.StructType([*kept]).add("n_tokens", "long", False)
 
     def run(record_batches):
+        gc.disable()  # hundreds of thousands of remembered counts, none in a cycle
         counter = _counter(model.value)
         for batch in common.batches(record_batches, "__text"):
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            totals = pa.array(counter.count([t or "" for t in texts]), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), totals], names=[*batch.schema.names[: len(kept)], "n_tokens"])
+            totals = counter.count([t or "" for t in batch.column(len(kept)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(totals, pa.int64())], names=[f.name for f in schema.fields])
 
-    # The text is sent to the workers once; only what the caller keeps comes back.
-    inner = docs.select(*(F.col(f"`{f.name}`") for f in kept if f.name != text_col), F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes"), F.col(f"`{text_col}`").alias("__text"))
-    kept = inner.schema.fields[:-1]
-    schema = type(inner.schema)(kept).add("n_tokens", "long", False)
     return inner.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -197,7 +197,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
     others = [F.col(f"`{c}`") for c in docs.columns if c not in added and not (digests and c == text_col)]
     inner = docs.select(*others, F.col(f"`{text_col}`").alias("__text"))
     kept = inner.schema.fields[:-1]
-    schema = T.StructType(kept)
+    schema = T.StructType([*kept])
     for name in added:
         schema = schema.add(name, {"n_tokens": "long", ids_col: T.ArrayType(T.IntegerType(), False)}.get(name, "string"), False)
 
