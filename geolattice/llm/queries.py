@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, token_counts, token_output, word_bpe
+from . import language_id, simhash, token_counts, token_output, word_bpe
 
 
 def queries() -> dict:
     return {
         "op3_language_id": language_id.op3_language_id,
+        "op4_simhash_dedup": simhash.op4_simhash_dedup,
         "op5_token_output": token_output.op5_token_output,
         "op6_bpe_encoding": word_bpe.op6_bpe_encoding,
         "op10_token_counts": token_counts.op10_token_counts,
