@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Distinct white-space-separated chunks that a worker remembers; it starts anew beyond.
-REMEMBERED = 500_000
+#: Distinct chunks between white space, and pre-tokens, that a worker remembers; it starts anew beyond.
+REMEMBERED = 900_000
+#: Text bytes of a batch: words of a larger one share more prefixes.
+TRIE_BYTES = 6_000_000
 _CHUNK = re.compile("[^ \t\n\r]+")
 #: ASCII letters and at most one run of stops: split between the two, by any version of Unicode.
 _SIMPLE = re.compile("([A-Za-z]+)([.,;:!?]*)")
@@ -68,11 +70,11 @@ class TrieEncoder:
         self.endings[right][left] = found
         return found
 
-    def encode(self, words: list[str]) -> dict[str, list[str]]:
+    def encode(self, words: set[str]) -> dict[str, list[str]]:
         """The tokens of each word. Sorted words walk the trie depth first: the stack holds the path to a node."""
         out: dict[str, list[str]] = {}
         path, last = "", [""]  # last[d]: the last token of the first d symbols
-        for word in sorted(set(words)):
+        for word in sorted(words):
             shared, most = 0, min(len(path), len(word) - 1)
             if path[:most] == word[:most]:
                 shared = most
@@ -126,8 +128,14 @@ class Codec:
         self.ids = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.decimals = {i: str(i) for i in self.names}
+        every = [*self.ids.items(), *self.special.items()]
+        self.names: list[str | None] = [None] * (max(i for _, i in every) + 1)
+        for token, i in every:
+            self.names[i] = token
+        self.gaps = None in self.names
+        self.decimals = [str(i) for i in range(len(self.names))]
+        #: Ids by pre-token, and by chunk of a text.
+        self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
 
     def _pieces(self, chunk: str) -> list[tuple[str, bool]]:
@@ -144,15 +152,19 @@ class Codec:
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        new = {c: self._pieces(c) for c in set(chunks) if c not in self.chunks}
-        tokens = self.trie.encode([p for pieces in new.values() for p, special in pieces if not special])
+        """Ids of chunks that are not known yet: their new pre-tokens make up one trie."""
+        words, ids, special = self.words, self.ids, self.special
+        if len(words) > REMEMBERED:
+            words.clear()
+        new = {c: self._pieces(c) for c in chunks}
+        missing = {p for pieces in new.values() for p, marked in pieces if not marked and p not in words}
+        for word, tokens in self.trie.encode(missing).items():
+            words[word] = tuple([ids[t] for t in tokens])
         for chunk, pieces in new.items():
             if len(pieces) == 1 and not pieces[0][1]:
-                self.chunks[chunk] = tuple([self.ids[t] for t in tokens[pieces[0][0]]])
+                self.chunks[chunk] = words[pieces[0][0]]
             else:
-                self.chunks[chunk] = tuple([i for p, special in pieces for i in ([self.special[p]] if special else [self.ids[t] for t in tokens[p]])])
+                self.chunks[chunk] = tuple([i for p, marked in pieces for i in ((special[p],) if marked else words[p])])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         cut = [_CHUNK.findall(t) for t in texts]
@@ -161,14 +173,16 @@ class Codec:
             seen.update(chunks)
         if len(self.chunks) + len(seen) > REMEMBERED:
             self.chunks.clear()
-        self.learn(list(seen))
         known = self.chunks
+        self.learn([c for c in seen if c not in known])
         return [[i for c in chunks for i in known[c]] for chunks in cut]
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens, joined by a space; unknown ids are left out."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
+        names, most = self.names, len(self.names)
+        if ids and 0 <= min(ids) and max(ids) < most and not self.gaps:
+            return " ".join([names[i] for i in ids])
+        return " ".join([names[i] for i in ids if 0 <= i < most and names[i] is not None])
 
 
 _CODECS: dict[int, Codec] = {}
@@ -205,7 +219,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
         gc.disable()  # hundreds of thousands of remembered chunks, none in a cycle
         tool = codec(source.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in common.batches(record_batches, "__text"):
+        for batch in common.batches(record_batches, "__text", TRIE_BYTES):
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
             rows = tool.encode_batch(texts)
             if digests:
