@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, simhash, token_counts, token_output, word_bpe
+from . import digest, language_id, simhash, token_counts, token_output, word_bpe
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_simhash_dedup": simhash.op4_simhash_dedup,
         "op5_token_output": token_output.op5_token_output,
         "op6_bpe_encoding": word_bpe.op6_bpe_encoding,
+        "op8_fingerprints": digest.op8_fingerprints,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
