@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import digest, language_id, simhash, token_counts, token_output, word_bpe
+from . import decontamination, digest, language_id, simhash, token_counts, token_output, word_bpe
 
 
 def queries() -> dict:
     return {
+        "op2_decontamination": decontamination.op2_decontamination,
         "op3_language_id": language_id.op3_language_id,
         "op4_simhash_dedup": simhash.op4_simhash_dedup,
         "op5_token_output": token_output.op5_token_output,
