@@ -102,6 +102,30 @@ def _byte_lengths(column) -> list:
     return pc.binary_length(column).to_pylist()
 
 
+def distinct_parts(lists):
+    """(codes, distinct parts, offsets) of an Arrow array of lists of strings: codes[offsets[i]:offsets[i+1]] is row i.
+
+    Parts are hashed in Arrow, so Python touches distinct ones only. Null lists are empty ones.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    coded = lists.flatten().dictionary_encode()
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), offsets.astype(np.int64)
+
+
+def spread(codes, values, lengths):
+    """The concatenation of ``values`` rows: row c of ``codes`` has lengths[c] values, which lie one after another."""
+    import numpy as np
+
+    starts = np.cumsum(lengths) - lengths
+    size = lengths[codes]
+    ends = np.cumsum(size)
+    shift = np.repeat(starts[codes] - (ends - size), size)
+    return values[np.arange(len(shift)) + shift], ends
+
+
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
     """Components of the graph with ``edges`` (a, b: long): rows (node, component), smallest node as component.
 
