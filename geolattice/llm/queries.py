@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, digest, language_id, simhash, token_counts, token_output, word_bpe
+from . import decontamination, digest, language_id, line_templates, simhash, token_counts, token_output, word_bpe
 
 
 def queries() -> dict:
@@ -13,9 +13,10 @@ def queries() -> dict:
         "op5_token_output": token_output.op5_token_output,
         "op6_bpe_encoding": word_bpe.op6_bpe_encoding,
         "op8_fingerprints": digest.op8_fingerprints,
+        "op9_line_dedup": line_templates.op9_line_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_templates.OP9_SQL}
