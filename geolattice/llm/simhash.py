@@ -3,9 +3,9 @@
 Two fingerprints at 2 or fewer differing bits are cut into two segments, of which one differs by at most one bit. So
 each distinct fingerprint is indexed under every segment with every one bit left out (a wildcard), the variants are
 joined on equality, and the pairs are verified. A variant that many fingerprints share (a tight group of near
-copies) is not paired out: its members are indexed again with two wildcards over the bits in which that group
-differs at all, so that at most four fingerprints share a key. Both ways are exact. Links go to a
-connected-components step; work is on distinct fingerprints, so copies cost nothing.
+copies) is not paired out: its members are indexed again by whole fingerprints with one bit flipped, over the bits in
+which that group differs at all; those that share such a value are all linked, so each is linked to the least of
+them. Both ways are exact. Links go to a connected-components step; work is on distinct fingerprints, so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
-#: Members of a variant above which it is indexed with two wildcards.
+#: Members of a variant above which it is indexed by flipped bits.
 CROWDED = 24
 #: Shingles that are counted at once, which bounds memory on very long texts.
 AT_ONCE = 1 << 15
@@ -72,7 +72,10 @@ def _apart(a, b):
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Pairs (a < b) of the distinct fingerprints in ``bits`` that differ by 2 bits or fewer, each once."""
+    """Pairs (a < b) of the distinct fingerprints in ``bits`` that differ by 2 bits or fewer, each once.
+
+    Of crowded groups, only as many of these pairs as connect what all of them would.
+    """
     variants = []
     for segment in (0, 1):
         part = F.shiftrightunsigned(F.col("bits"), _SEGMENT) if segment else F.col("bits").bitwiseAND(F.lit((1 << _SEGMENT) - 1))
@@ -87,16 +90,15 @@ def links(distinct: DataFrame) -> DataFrame:
     paired = few.select("key", F.col("bits").alias("a")).join(few.select("key", F.col("bits").alias("b")), "key")
     paired = paired.where("a < b").where(_apart(F.col("a"), F.col("b")) <= MOST_BITS).select("a", "b")
 
-    # Two members of a crowded variant differ in bits of its ``differ`` only, and both know all of these.
+    # Two members of a crowded variant differ in bits of its ``differ`` only, and both know all of these. Each stands
+    # under itself and under itself with one such bit flipped: fingerprints share a value if and only if they differ
+    # by 2 bits or fewer, so all that share one are linked, and links to the least of them connect as well.
     crowd = members.where(F.col("n") > CROWDED).groupBy("bits").agg(F.bit_or("differ").alias("differ"))
-    places = crowd.select("bits", F.filter(F.sequence(F.lit(0), F.lit(63)), lambda p: F.getbit("differ", p) == 1).alias("places"))
-    first = places.select("bits", "places", F.explode("places").alias("i"))
-    both = first.select("bits", "i", F.explode(F.filter("places", lambda p: p >= F.col("i"))).alias("j"))
-    mask = F.expr("shiftleft(1L, i) | shiftleft(1L, j)")
-    wild = both.select("bits", F.xxhash64(F.col("bits").bitwiseAND(F.bitwise_not(mask)), F.col("i"), F.col("j")).alias("key"))
-    crossed = wild.select("key", F.col("bits").alias("a")).join(wild.select("key", F.col("bits").alias("b")), "key")
-    crossed = crossed.where("a < b").where(_apart(F.col("a"), F.col("b")) <= MOST_BITS).select("a", "b")
-    return paired.union(crossed).distinct()
+    flips = F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda p: F.getbit("differ", p) == 1), lambda p: F.col("bits").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), p)))
+    near = crowd.select("bits", F.explode(F.concat(F.array("bits"), flips)).alias("middle"))
+    least = near.groupBy("middle").agg(F.min("bits").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    starred = near.join(least, "middle").select("a", F.col("bits").alias("b")).where("a < b")
+    return paired.union(starred).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
