@@ -26,6 +26,8 @@ LEAST_WORDS = 5
 OVERLAP, AGREE = 13, 0.8
 #: Entries of the bit table for each hash of the benchmark, and its largest size (a fuller table only sifts less).
 SPARSE, LARGEST = 64, 1 << 26
+#: Where in a hash its places in the table are read from.
+_PLACES = (0, 19, 38)
 #: Text bytes of a batch.
 HASHED_BYTES = 6_000_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -83,10 +85,7 @@ def _seeds(words: np.ndarray, ends: np.ndarray, masks: tuple[str, ...], table: n
     starts = np.concatenate([[0], ends[:-1]])
     for mask in masks:
         hashes = seed_hashes(words, mask)
-        at = np.arange(len(hashes)) if table is None else np.flatnonzero(table[hashes & np.uint64(len(table) - 1)])
-        if table is not None:
-            for shift in (19, 38):
-                at = at[table[(hashes[at] >> np.uint64(shift)) & np.uint64(len(table) - 1)]]
+        at = np.arange(len(hashes)) if table is None else np.flatnonzero(in_table(table, hashes))
         text = np.searchsorted(ends, at, side="right")
         inside = at + len(mask) <= ends[text]
         at, text = at[inside], text[inside]
@@ -121,11 +120,11 @@ def _benchmark_seeds(items: DataFrame, id_col: str) -> tuple[DataFrame, DataFram
     return known, common.materialise(known.mapInArrow(seeds, "hash long, item_id long, place long"), "benchmark-seeds"), masks
 
 
-def _bit_table(seeds: DataFrame) -> np.ndarray:
+def bit_table(hashes: DataFrame, column: str) -> np.ndarray:
     """Marks three places for each hash. Its pieces are made on the executors; their number has a bound."""
-    distinct = max(1, seeds.select("hash").distinct().count())
+    distinct = max(1, hashes.select(column).distinct().count())
     size = min(LARGEST, max(1 << 16, 1 << (SPARSE * distinct - 1).bit_length()))
-    places = seeds.select(F.explode(F.array(*(F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(size - 1)) for s in (0, 19, 38)))).alias("place"))
+    places = hashes.select(F.explode(F.array(*(F.shiftrightunsigned(column, s).bitwiseAND(F.lit(size - 1)) for s in _PLACES))).alias("place"))
     pieces = places.groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits"))
     table = np.zeros(size, bool)
     for row in pieces.collect():
@@ -135,6 +134,16 @@ def _bit_table(seeds: DataFrame) -> np.ndarray:
     return table
 
 
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be one that the table was made of."""
+    last = np.uint64(len(table) - 1)
+    out = table[hashes & last]
+    for shift in _PLACES[1:]:
+        some = np.flatnonzero(out)
+        out[some] = table[(hashes[some] >> np.uint64(shift)) & last]
+    return out
+
+
 def best_overlap(agree: np.ndarray) -> tuple[int, int, int]:
     """(start, end, words that agree) of the stretch with the highest sum of +1 for agreement and a cost otherwise.
 
@@ -164,7 +173,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     spark = docs.sparkSession
     common.ship(spark)
     items, seeds, masks = _benchmark_seeds(benchmark, item_col)
-    table = spark.sparkContext.broadcast(np.packbits(_bit_table(seeds)))
+    table = spark.sparkContext.broadcast(np.packbits(bit_table(seeds, "hash")))
     schema = "doc_id long, row long, words array<long>, hits array<struct<hash: long, at: int>>"
     kind = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
 

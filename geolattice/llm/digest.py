@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def likeness(a: str, b: str) -> float:
 
 def digests(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """Add the digest of every text; a null text counts as an empty one."""
-    import pandas as pd
-
     common.ship(docs.sparkSession)
 
     @F.pandas_udf("string")

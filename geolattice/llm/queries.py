@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, digest, language_id, line_templates, simhash, token_counts, token_output, word_bpe
+from . import decontamination, digest, language_id, line_templates, passages, simhash, token_counts, token_output, word_bpe
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_simhash_dedup": simhash.op4_simhash_dedup,
         "op5_token_output": token_output.op5_token_output,
         "op6_bpe_encoding": word_bpe.op6_bpe_encoding,
+        "op7_substring_dedup": passages.op7_substring_dedup,
         "op8_fingerprints": digest.op8_fingerprints,
         "op9_line_dedup": line_templates.op9_line_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
