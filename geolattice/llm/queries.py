@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, digest, language_id, line_templates, passages, simhash, token_counts, token_output, word_bpe
+from . import decontamination, digest, html_extraction, language_id, line_templates, passages, simhash, token_counts, token_output, word_bpe
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_extraction.op1_html_extraction,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_language_id": language_id.op3_language_id,
         "op4_simhash_dedup": simhash.op4_simhash_dedup,
