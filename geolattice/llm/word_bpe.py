@@ -195,7 +195,7 @@ def codec(source: bytes) -> Codec:
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", digests: bool = False, keep_text: bool = True) -> DataFrame:
     """Add the token ids of every text (array of int) to the rows of ``docs``.
 
     With ``digests`` instead of the ids: n_tokens, ids_sha256 (of decimal ids joined by a space) and decoded_sha256
@@ -207,8 +207,8 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
     common.ship(docs.sparkSession)
     source = common.vocabulary(docs.sparkSession, path)
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [ids_col]
-    # The text goes last; with digests only it does not come back from the workers.
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in added and not (digests and c == text_col)]
+    # The text goes to the workers last; it comes back only where it is kept beside the ids.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in added and not ((digests or not keep_text) and c == text_col)]
     inner = docs.select(*others, F.col(f"`{text_col}`").alias("__text"))
     kept = inner.schema.fields[:-1]
     schema = T.StructType([*kept])
