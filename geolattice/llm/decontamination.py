@@ -226,7 +226,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id has no overlap with any item; rows without a doc_id stay."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

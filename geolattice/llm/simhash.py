@@ -131,4 +131,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Equal doc_ids of a component stay together; rows with a null doc_id stay.
     """
     groups = near_duplicates(docs).where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti")
+    return docs.join(groups.hint("merge"), "doc_id", "left_anti")
