@@ -42,13 +42,17 @@ def _mask(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), FIELD).otherwise(token)
 
 
-def _leaf(line: Column) -> Column:
+def _leaf(tokens: Column) -> Column:
     """Null for a line without tokens."""
-    tokens = _tokens(line)
     leading = F.array_join(F.transform(F.slice(tokens, 1, DEPTH), _mask), " ")
     return F.when(tokens[0] != "", _number(F.concat_ws(" ", F.size(tokens).cast("string"), leading)))
 
 
+def _leaves(lines: Column) -> Column:
+    """The leaf of each line. Lines are cut into tokens by a step of its own, so that this is done once."""
+    return F.transform(F.transform(lines, _tokens), _leaf)
+
+
 def _key(docs: DataFrame) -> Column:
     """Tells rows apart; rows with the same id and text have the same lines dropped anyway."""
     return F.xxhash64("doc_id", "text").alias("key")
@@ -57,7 +61,7 @@ def _key(docs: DataFrame) -> Column:
 def _occurrences(docs: DataFrame) -> DataFrame:
     """key, doc_id, at, line, leaf, least and greatest other leaf, of every line that has tokens."""
     lines = docs.select(_key(docs), "doc_id", F.split("text", "\n").alias("lines"))
-    leaves = lines.withColumn("leaves", F.transform("lines", _leaf))
+    leaves = lines.withColumn("leaves", _leaves(F.col("lines")))
     ends = leaves.withColumn("low", F.array_min("leaves")).withColumn("high", F.array_max("leaves"))
     ends = ends.withColumn("low2", F.array_min(F.filter("leaves", lambda x: x != F.col("low")))).withColumn("high2", F.array_max(F.filter("leaves", lambda x: x != F.col("high"))))
     each = ends.select("key", "doc_id", "low", "high", "low2", "high2", F.posexplode(F.arrays_zip("lines", "leaves")).alias("at", "one"))
@@ -73,7 +77,7 @@ def _sent(keys: DataFrame, count: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """key, at (array of positions from 0): the lines of each document whose template recurs."""
-    leaves = docs.select(F.explode(F.transform(F.split("text", "\n"), _leaf)).alias("leaf")).where("leaf is not null")
+    leaves = docs.select(F.explode(_leaves(F.split("text", "\n"))).alias("leaf")).where("leaf is not null")
     busy = common.materialise(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURS).select("leaf"), "line-leaves")
     inside = _occurrences(docs).join(_sent(busy, busy.count()), "leaf")
     masked = inside.withColumn("tokens", F.transform(_tokens(F.col("line")), _mask)).withColumn("shape", F.xxhash64(F.array_join("tokens", " ")))
@@ -108,7 +112,8 @@ def drop_recurrent_lines(docs: DataFrame) -> DataFrame:
     document, and are cut alike. Further columns are kept as they are. An empty table gives an empty result.
     """
     cut = common.materialise(dropped_lines(docs.select("doc_id", "text")), "line-dropped")
-    joined = docs.withColumn("__key", _key(docs)).join(cut.select(F.col("key").alias("__key"), F.col("at").alias("__at")), "__key", "left")
+    # The same join at every size: what is cut grows with the documents.
+    joined = docs.withColumn("__key", _key(docs)).join(cut.select(F.col("key").alias("__key"), F.col("at").alias("__at")).hint("merge"), "__key", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("__at", at)), "\n")
     changed = F.col("__at").isNotNull()
     out = joined.withColumn("__kept", F.when(changed, kept).otherwise(F.col("text")))
