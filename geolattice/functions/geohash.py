@@ -20,7 +20,7 @@ def _cell_index(value: Column, low: float) -> Column:
     guess = F.floor((value - F.lit(low)) / F.lit(width))
     edge = lambda k: F.lit(low) + k.cast("double") * F.lit(width)
     mended = guess + (value >= edge(guess + 1)).cast("long") - (value < edge(guess)).cast("long")
-    return F.least(F.greatest(mended, F.lit(0).cast("long")), F.lit(2**_BITS - 1).cast("long"))
+    return mended - (mended == F.lit(2**_BITS)).cast("long")  # the uppermost edge belongs to the last cell; null stays null
 
 
 def _pair_digits(first: int, second: int) -> str:
