@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -16,8 +18,18 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 2_000_000
 
 
+#: Rows that Spark sends to a Python worker at once: with long texts its default of 10,000 takes much memory.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor (once for each context)."""
+    """Make this package importable in the Python workers of every executor (once for each context).
+
+    Larger Arrow batches are cut down to ARROW_ROWS for the session.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows, "10000")) > ARROW_ROWS:
+        spark.conf.set(rows, ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_geolattice_shipped", False):
         return
@@ -30,6 +42,25 @@ def ship(spark: SparkSession) -> None:
     context._geolattice_shipped = True
 
 
+@contextlib.contextmanager
+def worker_memory():
+    """For the run of a task: no scans of large caches for garbage; afterwards, free memory goes back to the system.
+
+    Workers outlive their tasks, and beside an executor's heap there is little room for what they would hold on to.
+    """
+    import pyarrow as pa
+
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

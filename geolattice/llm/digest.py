@@ -120,26 +120,27 @@ def with_edited_texts(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(record_batches):
-        held, done = None, []  # the row that waits for the next, (doc_id, text, digest)
-
-        def pair(row, nxt):
-            doc_id, text, own = row
-            half = len(text) // 2
-            edited = text[: len(text) - half] + nxt[1][:half]
-            other = own if edited == text else fingerprint(edited)
-            sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            done.append((doc_id, len(text), sha, own, other, likeness(own, other), likeness(own, nxt[2])))
-
-        last_part = None
-        for batch in common.batches(record_batches):
-            for doc_id, text, part, copy in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                row = (doc_id, text, fingerprint(text))
-                if part == last_part and held is not None:
-                    pair(held, row)
-                held, last_part = (None if copy else row), part
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _types(), strict=True)], names=names)
-                done.clear()
+        with common.worker_memory():
+            held, done = None, []  # the row that waits for the next, (doc_id, text, digest)
+
+            def pair(row, nxt):
+                doc_id, text, own = row
+                half = len(text) // 2
+                edited = text[: len(text) - half] + nxt[1][:half]
+                other = own if edited == text else fingerprint(edited)
+                sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                done.append((doc_id, len(text), sha, own, other, likeness(own, other), likeness(own, nxt[2])))
+
+            last_part = None
+            for batch in common.batches(record_batches):
+                for doc_id, text, part, copy in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    row = (doc_id, text, fingerprint(text))
+                    if part == last_part and held is not None:
+                        pair(held, row)
+                    held, last_part = (None if copy else row), part
+                if done:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _types(), strict=True)], names=names)
+                    done.clear()
 
     return sorted_rows.mapInArrow(run, schema)
 

@@ -9,7 +9,6 @@ once for each distinct word of their batches.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -29,7 +28,7 @@ SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 300, 64
 CALIBRATION, MARGIN = 0.2, 0.9
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Distinct words that a worker remembers; it starts anew beyond.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -224,11 +223,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", k
     schema = T.StructType([*kept]).add("lang_pred", "string", False).add("score", "double", False).add("accepted", "boolean", False)
 
     def run(record_batches):
-        gc.disable()
-        tool = LanguageModel(*sent.value)
-        for batch in common.batches(record_batches, "__text"):
-            found, scores, accepted = tool.predict(batch.column(len(kept)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.string()), pa.array(scores), pa.array(accepted)], names=[f.name for f in schema.fields])
+        with common.worker_memory():
+            tool = LanguageModel(*sent.value)
+            for batch in common.batches(record_batches, "__text"):
+                found, scores, accepted = tool.predict(batch.column(len(kept)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.string()), pa.array(scores), pa.array(accepted)], names=[f.name for f in schema.fields])
 
     return inner.mapInArrow(run, schema)
 

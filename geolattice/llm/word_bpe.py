@@ -9,7 +9,6 @@ stepping back from its end. Nothing is shuffled: each worker encodes the pre-tok
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -216,21 +215,21 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
         schema = schema.add(name, {"n_tokens": "long", ids_col: T.ArrayType(T.IntegerType(), False)}.get(name, "string"), False)
 
     def run(record_batches):
-        gc.disable()  # hundreds of thousands of remembered chunks, none in a cycle
-        tool = codec(source.value)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in common.batches(record_batches, "__text", TRIE_BYTES):
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            rows = tool.encode_batch(texts)
-            if digests:
-                columns = [
-                    pa.array(map(len, rows), pa.int64()),
-                    pa.array([sha(" ".join([tool.decimals[i] for i in ids])) for ids in rows], pa.string()),
-                    pa.array([sha(tool.decode(ids)) for ids in rows], pa.string()),
-                ]
-            else:
-                columns = [pa.array(rows, pa.list_(pa.field("element", pa.int32(), False)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *columns], names=[f.name for f in schema.fields])
+        with common.worker_memory():
+            tool = codec(source.value)
+            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+            for batch in common.batches(record_batches, "__text", TRIE_BYTES):
+                texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
+                rows = tool.encode_batch(texts)
+                if digests:
+                    columns = [
+                        pa.array(map(len, rows), pa.int64()),
+                        pa.array([sha(" ".join([tool.decimals[i] for i in ids])) for ids in rows], pa.string()),
+                        pa.array([sha(tool.decode(ids)) for ids in rows], pa.string()),
+                    ]
+                else:
+                    columns = [pa.array(rows, pa.list_(pa.field("element", pa.int32(), False)))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *columns], names=[f.name for f in schema.fields])
 
     return inner.mapInArrow(run, schema)
 
@@ -247,10 +246,11 @@ def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", text_col: str =
     schema = T.StructType([*inner.schema.fields]).add(text_col, "string", False)
 
     def run(record_batches):
-        tool = codec(source.value)
-        for batch in record_batches:
-            texts = pa.array([tool.decode(ids or []) for ids in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*kept, text_col])
+        with common.worker_memory():
+            tool = codec(source.value)
+            for batch in record_batches:
+                texts = pa.array([tool.decode(ids or []) for ids in batch.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*kept, text_col])
 
     return inner.mapInArrow(run, schema)
 
