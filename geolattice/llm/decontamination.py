@@ -22,8 +22,9 @@ from . import common
 MASKS = ("1101011", "1110011", "1011101", "11100101", "11001011", "1111001", "110111")
 #: Items of this many words or more are searched for; shorter ones (under a five-word shingle) are not.
 LEAST_WORDS = 5
-#: Words that an overlap must have, or all of a shorter item; and the share of them that must agree.
-OVERLAP, AGREE = 13, 0.8
+#: Words that an overlap must have, and the share of them that must agree; words from which on that share of a whole
+#: item is enough.
+OVERLAP, AGREE, MOSTLY = 13, 0.8, 10
 #: Entries of the bit table for each hash of the benchmark, and its largest size (a fuller table only sifts less).
 SPARSE, LARGEST = 64, 1 << 26
 #: Where in a hash its places in the table are read from.
@@ -160,11 +161,20 @@ def best_overlap(agree: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(agree[start:end].sum())
 
 
+def verified(agree: np.ndarray, item_length: int) -> tuple[int, int, int] | None:
+    """The overlap to report, as ``best_overlap`` does: a long enough stretch, or else most of a short item."""
+    found = best_overlap(agree)
+    if found[2] and found[1] - found[0] >= min(OVERLAP, item_length):
+        return found
+    total = int(agree.sum())
+    return (0, len(agree), total) if total >= (AGREE * item_length if item_length >= MOSTLY else item_length) else None
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, doc_start, n_words, n_agree, coverage: the best verified overlap of each pair, each pair once.
 
-    An overlap has OVERLAP words or more (or all words of a shorter item), of which AGREE or more are the same, at the
-    same distance from the item's start. ``coverage`` is the share of the item's words in it that agree. Null and
+    An overlap has OVERLAP words or more, of which AGREE or more are the same, at the same distance from the item's
+    start; or else that share of a whole item of MOSTLY words or more, or all of a shorter one. ``coverage`` is the share of the item's words in it that agree. Null and
     empty texts, and items of under LEAST_WORDS words, overlap with nothing; rows without an id are left out, as no
     result could name them; repeated rows give the pair once; an empty table gives an empty result.
     """
@@ -178,25 +188,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     kind = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
 
     def search(record_batches):
-        from pyspark import TaskContext
-
-        hasher, bits = WordHasher(), np.unpackbits(table.value).astype(bool)
-        row = TaskContext.get().partitionId() << 40  # tells repeated ids apart within this run of the job
-        for batch in common.batches(record_batches, "text", HASHED_BYTES):
-            words, ends = hasher.hash(batch.column(1))
-            found = [np.concatenate(x) for x in zip(*_seeds(words, ends, masks, bits), strict=True)]
-            order = np.argsort(found[0], kind="stable")
-            text, at, hashes = (x[order] for x in found)
-            some, counts = np.unique(text, return_counts=True)
-            starts = np.concatenate([[0], ends[:-1]])
-            inside = np.concatenate([np.arange(starts[t], ends[t]) for t in some]) if len(some) else np.empty(0, np.int64)
-            lengths = ends[some] - starts[some]
-            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(words[inside].view(np.int64)))
-            hits = pa.StructArray.from_arrays([pa.array(hashes), pa.array(at.astype(np.int32))], fields=list(kind))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), hits)
-            ids = batch.column(0).take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(row + np.arange(len(some))), rows, lists], names=["doc_id", "row", "words", "hits"])
-            row += len(some)
+        with common.worker_memory():
+            from pyspark import TaskContext
+
+            hasher, bits = WordHasher(), np.unpackbits(table.value).astype(bool)
+            row = TaskContext.get().partitionId() << 40  # tells repeated ids apart within this run of the job
+            for batch in common.batches(record_batches, "text", HASHED_BYTES):
+                words, ends = hasher.hash(batch.column(1))
+                found = [np.concatenate(x) for x in zip(*_seeds(words, ends, masks, bits), strict=True)]
+                order = np.argsort(found[0], kind="stable")
+                text, at, hashes = (x[order] for x in found)
+                some, counts = np.unique(text, return_counts=True)
+                starts = np.concatenate([[0], ends[:-1]])
+                inside = np.concatenate([np.arange(starts[t], ends[t]) for t in some]) if len(some) else np.empty(0, np.int64)
+                lengths = ends[some] - starts[some]
+                rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(words[inside].view(np.int64)))
+                hits = pa.StructArray.from_arrays([pa.array(hashes), pa.array(at.astype(np.int32))], fields=list(kind))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), hits)
+                ids = batch.column(0).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(row + np.arange(len(some))), rows, lists], names=["doc_id", "row", "words", "hits"])
+                row += len(some)
 
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null")
     hit = common.materialise(named.mapInArrow(search, schema), "decontamination-hits")
@@ -214,13 +225,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
     def verify(record_batches):
         for batch in record_batches:
-            rows = [(d, i, s + o[0], o[1] - o[0], o[2], o[2] / n) for d, i, s, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True) for o in [best_overlap(np.array(v, bool))] if o[2] and o[1] - o[0] >= min(OVERLAP, n)]
+            rows = [(d, i, s + o[0], o[1] - o[0], o[2], o[2] / n) for d, i, s, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True) for o in [verified(np.array(v, bool), n)] if o]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(columns)], names=["doc_id", "item_id", "doc_start", "n_words", "n_agree", "coverage"])
 
-    verified = agree.mapInArrow(verify, "doc_id long, item_id long, doc_start long, n_words long, n_agree long, coverage double")
+    found = agree.mapInArrow(verify, "doc_id long, item_id long, doc_start long, n_words long, n_agree long, coverage double")
     best = F.max(F.struct("n_agree", "coverage", -F.col("n_words"), -F.col("doc_start"))).alias("best")
-    pairs = verified.groupBy("doc_id", "item_id").agg(best)
+    pairs = found.groupBy("doc_id", "item_id").agg(best)
     return pairs.select("doc_id", "item_id", (-F.col("best.col4")).alias("doc_start"), (-F.col("best.col3")).alias("n_words"), "best.n_agree", "best.coverage")
 
 
