@@ -100,7 +100,7 @@ def with_edited_texts(docs: DataFrame) -> DataFrame:
     # Ranges count from the highest ids: range r holds cuts[r - 1] > doc_id >= cuts[r], the last one also the nulls.
     below = cuts[::-1]
     of = F.array_size(F.filter(F.array(*map(F.lit, below)), lambda c: c > F.col("doc_id"))) if below else F.lit(0)
-    ranged = rows.withColumn("part", F.coalesce(of, F.lit(len(cuts))).cast("int"))
+    ranged = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(of).cast("int"))
     ends = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("e")).collect()
     filled = sorted(r["part"] for r in ends)
     if not filled:
