@@ -7,7 +7,7 @@ many documents is dropped from all of them.
 
 Copies of a document repeat all of its lines, and they are no matter of this step. So a template's documents are
 counted by their surroundings: the least and the greatest leaf among a document's other lines. A template is dropped
-only if it stands in enough different surroundings, and in at least half as many as it has documents.
+only if it stands in enough different surroundings, and in at least half as many as it has different texts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from . import common
 
 #: Leading tokens that choose a leaf.
 DEPTH = 3
-#: Different surroundings that make a template recurrent; their least share of its documents.
+#: Different surroundings that make a template recurrent; their least share of the different texts that have it.
 RECURS, SHARE = 8, 0.5
 #: Share of tokens that must be constant, else a line is a template of its own.
 CONSTANT = 0.7
@@ -59,15 +59,15 @@ def _key(docs: DataFrame) -> Column:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """key, doc_id, at, line, leaf, least and greatest other leaf, of every line that has tokens."""
-    lines = docs.select(_key(docs), "doc_id", F.split("text", "\n").alias("lines"))
+    """key, body (hash of the text), at, line, leaf, least and greatest other leaf, of every line that has tokens."""
+    lines = docs.select(_key(docs), F.xxhash64("text").alias("body"), F.split("text", "\n").alias("lines"))
     leaves = lines.withColumn("leaves", _leaves(F.col("lines")))
     ends = leaves.withColumn("low", F.array_min("leaves")).withColumn("high", F.array_max("leaves"))
     ends = ends.withColumn("low2", F.array_min(F.filter("leaves", lambda x: x != F.col("low")))).withColumn("high2", F.array_max(F.filter("leaves", lambda x: x != F.col("high"))))
-    each = ends.select("key", "doc_id", "low", "high", "low2", "high2", F.posexplode(F.arrays_zip("lines", "leaves")).alias("at", "one"))
+    each = ends.select("key", "body", "low", "high", "low2", "high2", F.posexplode(F.arrays_zip("lines", "leaves")).alias("at", "one"))
     other = lambda end, second: F.coalesce(F.when(F.col("one.leaves") == F.col(end), F.col(second)).otherwise(F.col(end)), F.lit(-1))
     return each.where("one.leaves is not null").select(
-        "key", "doc_id", "at", F.col("one.lines").alias("line"), F.col("one.leaves").alias("leaf"), other("low", "low2").alias("least"), other("high", "high2").alias("greatest")
+        "key", "body", "at", F.col("one.lines").alias("line"), F.col("one.leaves").alias("leaf"), other("low", "low2").alias("least"), other("high", "high2").alias("greatest")
     )
 
 
@@ -94,8 +94,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     template = F.when(F.col("share") >= CONSTANT, F.xxhash64(F.lit("t"), "leaf", "mixed")).otherwise(F.xxhash64(F.lit("s"), "leaf", "shape"))
     templates = common.materialise(merged.select("leaf", "shape", template.alias("template")), "line-templates")
 
-    counted = lines.select("leaf", "shape", "doc_id", "key", "least", "greatest").join(templates, ["leaf", "shape"])
-    seen = [counted.select("template", F.lit(i).alias("what"), F.col(c).alias("value")).distinct() for i, c in enumerate(("key", "least", "greatest"))]
+    counted = lines.select("leaf", "shape", "body", "least", "greatest").join(templates, ["leaf", "shape"])
+    seen = [counted.select("template", F.lit(i).alias("what"), F.col(c).alias("value")).distinct() for i, c in enumerate(("body", "least", "greatest"))]
     numbers = seen[0].union(seen[1]).union(seen[2]).groupBy("template").agg(*(F.count_if(F.col("what") == i).alias(c) for i, c in enumerate(("docs", "low", "high"))))
     around = F.greatest("low", "high")
     recurrent = numbers.where((around >= RECURS) & (around >= SHARE * F.col("docs"))).select("template")
@@ -108,8 +108,8 @@ def drop_recurrent_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurrent lines left out of ``text``, and n_chars (if there) made to fit; n_dropped is added.
 
     Lines are parted by \\n, tokens by other ASCII white space; lines without tokens stay. A null text stays null and
-    an empty one empty; a text of recurrent lines only becomes empty; no row goes. Repeated rows count as one
-    document, and are cut alike. Further columns are kept as they are. An empty table gives an empty result.
+    an empty one empty; a text of recurrent lines only becomes empty; no row goes. Equal texts count as one,
+    and are cut alike. Further columns are kept as they are. An empty table gives an empty result.
     """
     cut = common.materialise(dropped_lines(docs.select("doc_id", "text")), "line-dropped")
     # The same join at every size: what is cut grows with the documents.
@@ -165,7 +165,7 @@ WITH l AS (
 ), m AS (
   SELECT leaf, shape, CASE WHEN count(constant) >= 0.7 * count(*) THEN 't ' || string_agg(coalesce(constant, '<*>'), ' ' ORDER BY place) ELSE 's ' || shape END AS template FROM g GROUP BY 1, 2
 ), r AS (
-  SELECT c.leaf, m.template, count(DISTINCT (c.doc_id, c.text)) AS docs, greatest(count(DISTINCT least), count(DISTINCT greatest)) AS around
+  SELECT c.leaf, m.template, count(DISTINCT c.text) AS docs, greatest(count(DISTINCT least), count(DISTINCT greatest)) AS around
   FROM c JOIN m ON c.leaf = m.leaf AND c.shape = m.shape GROUP BY 1, 2
 ), bad AS (
   SELECT m.leaf, m.shape FROM m JOIN r ON m.leaf = r.leaf AND m.template = r.template WHERE around >= 8 AND around >= 0.5 * docs
