@@ -153,3 +153,44 @@ def _types():
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     return with_edited_texts(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER w AS nxt, first_value(coalesce(text, '')) OVER w AS head
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, coalesce(text, ''))
+), f AS (
+  SELECT doc_id, text, coalesce(nxt, head) AS nxt, length(text) AS n, substr(text, 1, length(text) - length(text) // 2) || substr(coalesce(nxt, head), 1, length(text) // 2) AS edited FROM d
+), t AS (
+  SELECT DISTINCT text AS t FROM f UNION SELECT DISTINCT edited FROM f
+), b AS (
+  SELECT t, [CAST('0x' || x AS UBIGINT) FOR x IN regexp_extract_all(hex(encode(t)), '..')] AS bytes FROM t
+), m AS (
+  SELECT t, (z[1] * 2654435761 + z[2] * 2246822507 + z[3] * 3266489909) % 4294967296 AS m
+  FROM (SELECT t, unnest(list_zip(bytes[1:len(bytes) - 2], bytes[2:len(bytes) - 1], bytes[3:len(bytes)])) AS z FROM b WHERE len(bytes) > 2)
+), c AS (
+  SELECT t, ((xor(m, m >> 15) * 2654435761::UBIGINT) % 4294967296) >> 24 AS bucket, count(*) AS c FROM m GROUP BY 1, 2
+), full_counts AS (
+  SELECT b.t, r.bucket, coalesce(c.c, 0) AS c FROM b CROSS JOIN (SELECT unnest(range(256)) AS bucket) r LEFT JOIN c ON b.t = c.t AND c.bucket = r.bucket
+), q AS (
+  SELECT t, s[64] AS low, s[128] AS middle, s[192] AS high FROM (SELECT t, list_sort(list(c)) AS s FROM full_counts GROUP BY t)
+), k AS (
+  SELECT x.t, x.bucket, (c > low)::INT + (c > middle)::INT + (c > high)::INT AS code FROM full_counts x JOIN q ON x.t = q.t
+), p AS (
+  SELECT t, bucket // 4 AS place, sum(code << CAST(6 - 2 * (bucket % 4) AS INT)) AS octet FROM k GROUP BY 1, 2
+), h AS (
+  SELECT t, string_agg(printf('%02x', octet::INT), '' ORDER BY place) AS digits FROM p GROUP BY t
+), codes AS (
+  SELECT t, list(code ORDER BY bucket) AS codes FROM k GROUP BY t
+), g AS (
+  SELECT q.t, codes.codes, least(255, CAST(round(8 * log2(strlen(q.t) + 1)) AS INT)) AS size, CASE WHEN high > 0 THEN CAST(15 * low // high AS INT) ELSE 0 END AS r1,
+         CASE WHEN high > 0 THEN CAST(15 * middle // high AS INT) ELSE 0 END AS r2, h.digits
+  FROM q JOIN h ON q.t = h.t JOIN codes ON q.t = codes.t
+), o AS (
+  SELECT f.doc_id, f.n, f.edited, printf('%02x%02x', x.size, x.r1 * 16 + x.r2) || x.digits AS fx, printf('%02x%02x', y.size, y.r1 * 16 + y.r2) || y.digits AS fy,
+         list_sum([CASE WHEN abs(u[1] - u[2]) = 3 THEN 6 ELSE abs(u[1] - u[2]) END FOR u IN list_zip(x.codes, y.codes)]) + least(48, abs(x.size - y.size)) + least(16, abs(x.r1 - y.r1)) + least(16, abs(x.r2 - y.r2)) AS dy,
+         list_sum([CASE WHEN abs(u[1] - u[2]) = 3 THEN 6 ELSE abs(u[1] - u[2]) END FOR u IN list_zip(x.codes, z.codes)]) + least(48, abs(x.size - z.size)) + least(16, abs(x.r1 - z.r1)) + least(16, abs(x.r2 - z.r2)) AS dz
+  FROM f JOIN g x ON f.text = x.t JOIN g y ON f.edited = y.t JOIN g z ON f.nxt = z.t
+)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fx AS fingerprint, fy AS edited_fingerprint, 1 - dy::DOUBLE / 1616 AS near_edited, 1 - dz::DOUBLE / 1616 AS near_next FROM o
+"""

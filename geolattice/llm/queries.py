@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_templates.OP9_SQL}
+    return {"op8_fingerprints": digest.OP8_SQL, "op9_line_dedup": line_templates.OP9_SQL}
