@@ -89,13 +89,16 @@ def _choose(bits: np.ndarray, start: np.ndarray) -> np.ndarray:
     selector = np.zeros(len(start), np.int64)
     for s in range(14, 9, -1):
         selector[most[:, COUNTS[s] - 1] <= WIDTHS[s]] = s
-    wide = np.flatnonzero(most[:, -1] <= 10)
-    if len(wide):
-        most = np.maximum.accumulate(bits[start[wide][:, None] + np.arange(int(COUNTS.max()))], axis=1)
-        best = selector[wide]
-        for s in [*range(9, 0, -1), 15]:
-            best[most[:, COUNTS[s] - 1] <= WIDTHS[s]] = s
-        selector[wide] = best
+    # Ever fewer words go on to packings of more values.
+    some, seen = np.arange(len(start)), _NEAR
+    for more, packings in ((15, range(9, 3, -1)), (int(COUNTS.max()), (3, 2, 1, 15))):
+        some = some[most[:, seen - 1] <= WIDTHS[packings[0]]]
+        if not len(some):
+            break
+        most = np.maximum.accumulate(bits[start[some][:, None] + np.arange(more)], axis=1)
+        seen = more
+        for s in packings:
+            selector[some[most[:, COUNTS[s] - 1] <= WIDTHS[s]]] = s
     return selector
 
 

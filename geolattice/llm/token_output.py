@@ -8,7 +8,7 @@ space is a pre-token boundary of byte-level BPE, so the library encodes each dis
 
 from __future__ import annotations
 
-import gc
+import re
 import zlib
 from array import array
 
@@ -21,9 +21,16 @@ from . import common, simple8b
 #: Ids in a shard, but for a longer document, which is not cut.
 SHARD_IDS = 1 << 21
 #: Distinct chunks that a worker remembers; it starts anew beyond.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
+#: Text bytes of a batch.
+ENCODED_BYTES = 4_000_000
 #: What Spark's writer puts after each record; read_shard ignores it.
 END = "S8BEND\n"
+#: Stands in front of a text; a text that begins with it goes to the library as a whole.
+_FIRST = "\x00"
+#: Latin letters and a run of stops, perhaps again after one line break: byte-level pre-tokenisers part these.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+"
+_SIMPLE = re.compile(f"( ?{_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
 #: Where a space stands beside another or a line break, and the rarer white space.
 _BESIDE = ("  ", " \n", "\n ")
 _RARE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + ("\u180e", "\u200b", "\ufeff")
@@ -45,35 +52,58 @@ class ByteLevelEncoder:
         strips = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
         #: Whether a text may be cut at single spaces; else the library gets whole texts.
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not strips
-        #: By chunk: the ids of a space and the chunk.
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, out = self.known, [b""] * len(texts)
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if t and self.cuts and not self._odd(t)}
-        rest = [i for i, t in enumerate(texts) if t and i not in cut]
-        seen: set[str] = set()
-        for chunks in cut.values():
-            seen.update(chunks[1:])
-        new = [c for c in seen if c not in known]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            known.update(zip(part, self._library([" " + c for c in part]), strict=True))
-        first = self._library([cut[i][0] for i in cut])
-        for (i, chunks), head in zip(cut.items(), first, strict=True):
-            chunks[0] = ""
-            out[i] = b"".join([head, *[known[c] for c in chunks[1:]]])
+        #: The ids of a chunk of a text, and of a pre-token.
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Distinct chunks are found in Arrow, and only new ones are encoded."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.chunks) > REMEMBERED:
+            self.chunks.clear()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and self.cuts and not self._odd(t)]
+        rest = [i for i, t in enumerate(texts) if t and not (self.cuts and not self._odd(t))] if len(plain) < len(texts) else []
+        if plain:
+            # A mark in front of a text tells its first chunk, which no space precedes, from the others.
+            marked = pa.array([_FIRST + texts[i] for i in plain], pa.large_string())
+            codes, parts, offsets = common.distinct_parts(pc.split_pattern(marked, " "))
+            self._learn(parts)
+            known = [self.chunks[p] for p in parts]
+            lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            ids, ends = common.spread(codes, np.frombuffer(b"".join(known), "<u4"), lengths)
+            bounds = np.concatenate([[0], ends])[offsets]
+            for k, i in enumerate(plain):
+                out[i] = ids[bounds[k] : bounds[k + 1]]
         # White space in runs: the library gets whole texts.
         for i, code in zip(rest, self._library([texts[i] for i in rest]), strict=True):
-            out[i] = code
+            out[i] = np.frombuffer(code, "<u4")
         return out
 
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of new chunks; letters and the stops behind them are pre-tokens that many chunks share."""
+        chunks, words = self.chunks, self.words
+        new = {}
+        for part in parts:
+            if part not in chunks:
+                whole = part[1:] if part[0] == _FIRST else " " + part
+                simple = _SIMPLE.fullmatch(whole)
+                new[part] = [w for w in simple.groups() if w] if simple else [whole]
+        missing = list({w for cut in new.values() for w in cut if w not in words})
+        for start in range(0, len(missing), 20_000):
+            some = missing[start : start + 20_000]
+            words.update(zip(some, self._library(some), strict=True))
+        for part, cut in new.items():
+            chunks[part] = words[cut[0]] if len(cut) == 1 else b"".join([words[w] for w in cut])
+
     @staticmethod
     def _odd(text: str) -> bool:
         """Whether a space may stand beside white space, or at an end: then spaces alone do not bound pre-tokens."""
-        return text[0] == " " or text[-1] == " " or any(s in text for s in _BESIDE) or any(s in text for s in _RARE)
+        return _FIRST in text or text[0] in " \n" or text[-1] == " " or any(s in text for s in _BESIDE) or any(s in text for s in _RARE)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -104,32 +134,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
     def run(record_batches):
-        import os as worker_os
-
-        from pyspark import TaskContext
-
-        worker_os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        gc.disable()
-        tool, part, shard = encoder(source.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        ids, coded, size = [], [], 0
-
-        def flush():
-            lengths = np.array([len(c) // 4 for c in coded])
-            return pa.RecordBatch.from_arrays([pa.array([simple8b.write_shard(part, shard, ids, lengths, np.frombuffer(b"".join(coded), "<u4"))], pa.binary())], names=["shard"])
-
-        for batch in common.batches(record_batches):
-            numbers = batch.column(0).to_pylist()
-            for doc_id, code in zip(numbers, tool.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                code += end
-                if ids and size + len(code) // 4 > shard_ids:
-                    yield flush()
-                    ids, coded, size, shard = [], [], 0, shard + 1
-                ids.append(doc_id)
-                coded.append(code)
-                size += len(code) // 4
-        if ids:
-            yield flush()
+        with common.worker_memory():
+            import os as worker_os
+
+            from pyspark import TaskContext
+
+            worker_os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            tool, part, shard = encoder(source.value), TaskContext.get().partitionId(), 0
+            end = np.array([end_id], "<u4")
+            ids, coded, size = [], [], 0
+
+            def flush():
+                lengths = np.array([len(c) + 1 for c in coded[::2]])
+                data = simple8b.write_shard(part, shard, ids, lengths, np.concatenate(coded))
+                return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["shard"])
+
+            for batch in common.batches(record_batches, "text", ENCODED_BYTES):
+                numbers = batch.column(0).to_pylist()
+                for doc_id, code in zip(numbers, tool.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    if ids and size + len(code) + 1 > shard_ids:
+                        yield flush()
+                        ids, coded, size, shard = [], [], 0, shard + 1
+                    ids.append(doc_id)
+                    coded += [code, end]
+                    size += len(code) + 1
+            if ids:
+                yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(run, "shard binary")
@@ -145,19 +175,20 @@ def read_tokens(spark, path: str, *, with_ids: bool = False) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(record_batches):
-        for batch in record_batches:
-            for data in batch.column(0):
-                if not len(data.as_buffer()):
-                    continue
-                part, shard, doc_ids, lengths, ids = simple8b.read_shard(data.as_buffer())
-                plain, stops = ids.astype("<u4").tobytes(), np.cumsum(lengths)
-                starts = stops - lengths
-                crcs = [zlib.crc32(plain[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-                columns = [pa.array([x] * len(doc_ids), pa.int64()) for x in (part, shard)]
-                columns += [pa.array(x, pa.int64()) for x in (doc_ids, starts, lengths, crcs)]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, stops], pa.int32()), pa.array(ids.astype(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        with common.worker_memory():
+            for batch in record_batches:
+                for data in batch.column(0):
+                    if not len(data.as_buffer()):
+                        continue
+                    part, shard, doc_ids, lengths, ids = simple8b.read_shard(data.as_buffer())
+                    plain, stops = ids.astype("<u4").tobytes(), np.cumsum(lengths)
+                    starts = stops - lengths
+                    crcs = [zlib.crc32(plain[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                    columns = [pa.array([x] * len(doc_ids), pa.int64()) for x in (part, shard)]
+                    columns += [pa.array(x, pa.int64()) for x in (doc_ids, starts, lengths, crcs)]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, stops], pa.int32()), pa.array(ids.astype(np.int64))))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, schema)
