@@ -126,6 +126,11 @@ class PageMaker:
                 parts.append(self.r.choice((self.ad, self.share, self.form, self.notice, self.ad))())
         if self.r.random() < 0.1:
             parts.append(self.comments())
+        if self.r.random() < 0.2 and parts[0].startswith("<h1"):
+            parts[0] = f'<header{self.r.choice(("", " class=entry-header", " class=article-header"))}>{parts[0]}</header>'
+        if self.r.random() < 0.2:
+            links = f"<span>{self.words(1, 2)} <a href=x>{self.word()}</a></span>"
+            parts.append(f'<footer{self.r.choice(("", " class=entry-footer", " class=post-meta"))} data-keep="0">{self.r.choice((links, f"<ul>{self.links(1, 4)}</ul>", self.sentence(3, 9)))}</footer>')
         tag = self.r.choice(("article", "article", "main", "div", "section", "div"))
         named = self.attribute("content") if tag != "div" or self.r.random() < 0.4 else f' class="{self.r.choice(NAMES["content"])}"'
         inner = "".join(parts)
