@@ -109,9 +109,10 @@ def with_edited_texts(docs: DataFrame) -> DataFrame:
     top = {r["part"]: r["e"]["doc_id"] for r in ends}
     follower = {part: filled[(k + 1) % len(filled)] for k, part in enumerate(filled)}
     before = {after: part for part, after in follower.items()}
-    firsts = F.create_map(*(F.lit(x) for part, doc_id in top.items() if doc_id is not None for x in (part, doc_id)))
+    pairs = [F.lit(x) for part, doc_id in top.items() if doc_id is not None for x in (part, doc_id)]
+    first = F.create_map(*pairs)[F.col("part")] if pairs else F.lit(None)
     home = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    leads = F.coalesce(F.col("doc_id") == firsts[F.col("part")], F.lit(False)) | (F.col("doc_id").isNull() & F.col("part").isin([p for p, d in top.items() if d is None]))
+    leads = F.coalesce(F.col("doc_id") == first, F.lit(False)) | (F.col("doc_id").isNull() & F.col("part").isin([p for p, d in top.items() if d is None]))
     # Of rows that share the highest id only the first text is needed: the smallest, found in the range itself.
     copies = F.when(leads, F.array(F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(home[F.col("part")].alias("part"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("copy"))))
     dealt = ranged.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.part", "to.copy")

@@ -83,7 +83,9 @@ def links(distinct: DataFrame) -> DataFrame:
         for wildcard in range(_SEGMENT):
             left = part.bitwiseAND(F.lit(~(1 << wildcard) & ((1 << _SEGMENT) - 1)))
             variants.append(F.shiftleft(left, 6).bitwiseOR(F.lit(segment * _SEGMENT + wildcard)))
-    indexed = distinct.select("bits", F.explode(F.array(*variants)).alias("key"))
+    # Fingerprints are few bytes, so few tasks would hold them all; each makes 64 rows.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed = distinct.repartition(parts, "bits").select("bits", F.explode(F.array(*variants)).alias("key"))
     shared = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bits").bitwiseXOR(F.bit_and("bits")).alias("differ")).where("n > 1")
     members = common.materialise(indexed.join(shared, "key"), "simhash-members")
 

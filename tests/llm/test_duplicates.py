@@ -192,9 +192,10 @@ def test_lines_of_odd_rows(spark):
     assert texts[50] == "" and texts[51] == "" and "same line" not in texts[0]
 
 
-@pytest.mark.parametrize("rows", ["odd", "none", "one"])
+@pytest.mark.parametrize("rows", ["odd", "none", "one", "nameless"])
 def test_edited_texts(spark, rows):
-    docs = fixtures.odd_documents(spark) if rows == "odd" else fixtures.documents(spark, [(1, "abcdef")] if rows == "one" else [])
+    small = {"none": [], "one": [(1, "abcdef")], "nameless": [(None, "abc"), (None, "xyz"), (None, None)]}
+    docs = fixtures.odd_documents(spark) if rows == "odd" else fixtures.documents(spark, small[rows])
     found = sorted(digest.with_edited_texts(docs).collect(), key=repr)
     order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     expected = []
