@@ -77,13 +77,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/geolattice/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, held: list[DataFrame] | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors.
+
+    What is added to ``held`` is to be discarded once the result that it goes into is written itself.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._geolattice_path = path
+    if held is not None:
+        held.append(out)
     return out
 
 
@@ -97,6 +102,11 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard_all(held: list[DataFrame]) -> None:
+    while held:
+        discard(held.pop())
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -75,16 +75,16 @@ def _sent(keys: DataFrame, count: int) -> DataFrame:
     return F.broadcast(keys) if count <= SENDABLE else keys
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """key, at (array of positions from 0): the lines of each document whose template recurs."""
     leaves = docs.select(F.explode(_leaves(F.split("text", "\n"))).alias("leaf")).where("leaf is not null")
-    busy = common.materialise(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURS).select("leaf"), "line-leaves")
+    busy = common.materialise(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURS).select("leaf"), "line-leaves", held)
     inside = _occurrences(docs).join(_sent(busy, busy.count()), "leaf")
     masked = inside.withColumn("tokens", F.transform(_tokens(F.col("line")), _mask)).withColumn("shape", F.xxhash64(F.array_join("tokens", " ")))
-    lines = common.materialise(masked.drop("line"), "line-candidates")
+    lines = common.materialise(masked.drop("line"), "line-candidates", held)
 
     shapes = lines.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("n"), F.any_value("tokens").alias("tokens"))
-    placed = common.materialise(shapes.select("leaf", "shape", "n", F.posexplode("tokens").alias("place", "token")), "line-tokens")
+    placed = common.materialise(shapes.select("leaf", "shape", "n", F.posexplode("tokens").alias("place", "token")), "line-tokens", held)
     support = placed.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support"))
     fixed = support.where(F.col("support") >= RECURS).select("leaf", "place", "token", F.lit(True).alias("fixed"))
     settled = placed.join(fixed, ["leaf", "place", "token"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)) & (F.col("token") != FIELD))
@@ -92,14 +92,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     merged = settled.groupBy("leaf", "shape").agg(F.bit_xor(part).alias("mixed"), F.avg(F.col("fixed").cast("int")).alias("share"))
     # Two templates of a leaf are alike if all their places are; a line with too few constants stays itself.
     template = F.when(F.col("share") >= CONSTANT, F.xxhash64(F.lit("t"), "leaf", "mixed")).otherwise(F.xxhash64(F.lit("s"), "leaf", "shape"))
-    templates = common.materialise(merged.select("leaf", "shape", template.alias("template")), "line-templates")
+    templates = common.materialise(merged.select("leaf", "shape", template.alias("template")), "line-templates", held)
 
     counted = lines.select("leaf", "shape", "body", "least", "greatest").join(templates, ["leaf", "shape"])
     seen = [counted.select("template", F.lit(i).alias("what"), F.col(c).alias("value")).distinct() for i, c in enumerate(("body", "least", "greatest"))]
     numbers = seen[0].union(seen[1]).union(seen[2]).groupBy("template").agg(*(F.count_if(F.col("what") == i).alias(c) for i, c in enumerate(("docs", "low", "high"))))
     around = F.greatest("low", "high")
     recurrent = numbers.where((around >= RECURS) & (around >= SHARE * F.col("docs"))).select("template")
-    bad = common.materialise(templates.join(recurrent, "template").select("leaf", "shape"), "line-recurrent")
+    bad = common.materialise(templates.join(recurrent, "template").select("leaf", "shape"), "line-recurrent", held)
     hit = lines.select("key", "at", "leaf", "shape").join(_sent(bad, bad.count()), ["leaf", "shape"])
     return hit.groupBy("key").agg(F.collect_set("at").alias("at"))
 
@@ -111,7 +111,9 @@ def drop_recurrent_lines(docs: DataFrame) -> DataFrame:
     an empty one empty; a text of recurrent lines only becomes empty; no row goes. Equal texts count as one,
     and are cut alike. Further columns are kept as they are. An empty table gives an empty result.
     """
-    cut = common.materialise(dropped_lines(docs.select("doc_id", "text")), "line-dropped")
+    held: list[DataFrame] = []
+    cut = common.materialise(dropped_lines(docs.select("doc_id", "text"), held), "line-dropped")
+    common.discard_all(held)
     # The same join at every size: what is cut grows with the documents.
     joined = docs.withColumn("__key", _key(docs)).join(cut.select(F.col("key").alias("__key"), F.col("at").alias("__at")).hint("merge"), "__key", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("__at", at)), "\n")
