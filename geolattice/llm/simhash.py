@@ -72,7 +72,7 @@ def _apart(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """Pairs (a < b) of the distinct fingerprints in ``bits`` that differ by 2 bits or fewer, each once.
 
     Of crowded groups, only as many of these pairs as connect what all of them would.
@@ -83,11 +83,12 @@ def links(distinct: DataFrame) -> DataFrame:
         for wildcard in range(_SEGMENT):
             left = part.bitwiseAND(F.lit(~(1 << wildcard) & ((1 << _SEGMENT) - 1)))
             variants.append(F.shiftleft(left, 6).bitwiseOR(F.lit(segment * _SEGMENT + wildcard)))
-    # Fingerprints are few bytes, so few tasks would hold them all; each makes 64 rows.
+    # Fingerprints are few bytes, so few tasks would hold them all; each makes 64 rows. (Dealt out by a hash of its own:
+    # a repartition by the column itself would be merged with the aggregation before it, and that is coalesced.)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    indexed = distinct.repartition(parts, "bits").select("bits", F.explode(F.array(*variants)).alias("key"))
+    indexed = distinct.repartition(parts, F.xxhash64("bits")).select("bits", F.explode(F.array(*variants)).alias("key"))
     shared = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bits").bitwiseXOR(F.bit_and("bits")).alias("differ")).where("n > 1")
-    members = common.materialise(indexed.join(shared, "key"), "simhash-members")
+    members = common.materialise(indexed.join(shared.hint("merge"), "key"), "simhash-members", held)
 
     few = members.where(F.col("n") <= CROWDED).select("key", "bits")
     paired = few.select("key", F.col("bits").alias("a")).join(few.select("key", F.col("bits").alias("b")), "key")
@@ -114,7 +115,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marked = common.materialise(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
     # The smallest id of its copies stands for a fingerprint; without any, the fingerprint itself would not be an id.
     nodes = marked.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    pairs = common.materialise(links(nodes.select("bits")), "simhash-links")
+    held: list[DataFrame] = []
+    pairs = common.materialise(links(nodes.select("bits"), held), "simhash-links")
+    common.discard_all(held)
     joined = common.connected_components(pairs)
     grouped = joined.join(nodes, joined["node"] == nodes["bits"]).select("component", "bits", "least")
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
