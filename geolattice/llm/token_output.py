@@ -21,16 +21,18 @@ from . import common, simple8b
 #: Ids in a shard, but for a longer document, which is not cut.
 SHARD_IDS = 1 << 21
 #: Distinct chunks that a worker remembers; it starts anew beyond.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 #: Text bytes of a batch.
 ENCODED_BYTES = 4_000_000
 #: What Spark's writer puts after each record; read_shard ignores it.
 END = "S8BEND\n"
 #: Stands in front of a text; a text that begins with it goes to the library as a whole.
 _FIRST = "\x00"
+#: How a vocabulary of bytes writes a space.
+_SPACE = "\u0120"
 #: Latin letters and a run of stops, perhaps again after one line break: byte-level pre-tokenisers part these.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+"
-_SIMPLE = re.compile(f"( ?{_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
+_SIMPLE = re.compile(f"({_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
 #: Where a space stands beside another or a line break, and the rarer white space.
 _BESIDE = ("  ", " \n", "\n ")
 _RARE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + ("\u180e", "\u200b", "\ufeff")
@@ -52,9 +54,13 @@ class ByteLevelEncoder:
         strips = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
         #: Whether a text may be cut at single spaces; else the library gets whole texts.
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not strips
-        #: The ids of a chunk of a text, and of a pre-token.
+        #: The ids of a chunk with the space before it, and of pre-tokens without one.
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        #: Which ids begin with a space.
+        self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.spaced[i] = token.startswith(_SPACE)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Distinct chunks are found in Arrow, and only new ones are encoded."""
@@ -63,8 +69,8 @@ class ByteLevelEncoder:
 
         if len(self.chunks) > REMEMBERED:
             self.chunks.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        if len(self.bare) > REMEMBERED // 4:
+            self.bare.clear()
         out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
         plain = [i for i, t in enumerate(texts) if t and self.cuts and not self._odd(t)]
         rest = [i for i, t in enumerate(texts) if t and not (self.cuts and not self._odd(t))] if len(plain) < len(texts) else []
@@ -86,19 +92,39 @@ class ByteLevelEncoder:
 
     def _learn(self, parts: list[str]) -> None:
         """Ids of new chunks; letters and the stops behind them are pre-tokens that many chunks share."""
-        chunks, words = self.chunks, self.words
-        new = {}
+        chunks, bare = self.chunks, self.bare
+        words, mixed, rest = set(), [], []
         for part in parts:
             if part not in chunks:
-                whole = part[1:] if part[0] == _FIRST else " " + part
-                simple = _SIMPLE.fullmatch(whole)
-                new[part] = [w for w in simple.groups() if w] if simple else [whole]
-        missing = list({w for cut in new.values() for w in cut if w not in words})
-        for start in range(0, len(missing), 20_000):
-            some = missing[start : start + 20_000]
-            words.update(zip(some, self._library(some), strict=True))
-        for part, cut in new.items():
-            chunks[part] = words[cut[0]] if len(cut) == 1 else b"".join([words[w] for w in cut])
+                if part.isascii() and part.isalpha():
+                    words.add(part)
+                elif found := _SIMPLE.fullmatch(part):
+                    mixed.append((part, found.groups()))
+                    if found.group(1) not in chunks:
+                        words.add(found.group(1))
+                else:
+                    rest.append(part)
+        self._words([*words])
+        pieces = {p for _, cut in mixed for p in cut[1:] if p and p not in bare}
+        pieces.update(p[1:] for p in rest if p[0] == _FIRST and p[1:] not in bare)
+        for piece, code in zip(pieces, self._library([*pieces]), strict=True):
+            bare[piece] = code
+        for part, (word, *cut) in mixed:
+            chunks[part] = b"".join([chunks[word], *[bare[p] for p in cut if p]])
+        spaced = [p for p in rest if p[0] != _FIRST]
+        chunks.update(zip(spaced, self._library([" " + p for p in spaced]), strict=True))
+        chunks.update((p, bare[p[1:]]) for p in rest if p[0] == _FIRST)
+
+    def _words(self, words: list[str]) -> None:
+        """Ids of new words of letters. The library gets many as one text, where each begins with a space's token."""
+        for start in range(0, len(words), 5000):
+            some = words[start : start + 5000]
+            ids = np.array(self.tok.encode_batch_fast(["".join([" " + w for w in some])], add_special_tokens=False)[0].ids, "<u4")
+            begins = np.flatnonzero(self.spaced[ids]) * 4
+            if len(begins) != len(some):
+                raise ValueError("this vocabulary does not begin words with their space")
+            plain = ids.tobytes()
+            self.chunks.update(zip(some, [plain[a:b] for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(plain)], strict=True)], strict=True))
 
     @staticmethod
     def _odd(text: str) -> bool:
