@@ -161,11 +161,34 @@ def best_overlap(agree: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(agree[start:end].sum())
 
 
+def longest_overlap(agree: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, words that agree) of the longest stretch of which AGREE or more agree.
+
+    Of equal ones that with the most agreement is taken, then the first. Words at its ends that do not agree are left
+    off as far as OVERLAP words remain.
+    """
+    share = round(1000 * AGREE)
+    sums = np.concatenate([[0], np.cumsum(np.where(agree, 1000 - share, -share))])
+    ahead = np.maximum.accumulate(sums[::-1])[::-1]  # falls, so the last place that is as high is found by bisection
+    ends = np.searchsorted(-ahead, -sums, side="right") - 1
+    lengths = ends - np.arange(len(sums))
+    longest = np.flatnonzero(lengths == lengths.max())
+    start = int(longest[(sums[ends[longest]] - sums[longest]).argmax()])
+    end = int(ends[start])
+    same = np.flatnonzero(agree[start:end]) + start
+    if not len(same):
+        return 0, 0, 0
+    start = max(start, min(int(same[0]), end - OVERLAP))
+    end = min(end, max(int(same[-1]) + 1, start + OVERLAP))
+    return start, end, len(same)
+
+
 def verified(agree: np.ndarray, item_length: int) -> tuple[int, int, int] | None:
-    """The overlap to report, as ``best_overlap`` does: a long enough stretch, or else most of a short item."""
-    found = best_overlap(agree)
-    if found[2] and found[1] - found[0] >= min(OVERLAP, item_length):
-        return found
+    """The overlap to report, as ``longest_overlap`` does: a long enough stretch, or else most of a short item."""
+    if item_length >= OVERLAP:
+        found = longest_overlap(agree)
+        if found[1] - found[0] >= OVERLAP:
+            return found
     total = int(agree.sum())
     return (0, len(agree), total) if total >= (AGREE * item_length if item_length >= MOSTLY else item_length) else None
 

@@ -126,6 +126,34 @@ def test_best_overlap(agree):
     assert not end or n >= 0.8 * (end - start)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([True] * 5 + [False]), max_size=45))
+def test_every_long_overlap_is_verified(agree):
+    found = decontamination.verified(np.array(agree, bool), 100)
+    enough = [b - a for a in range(len(agree)) for b in range(a + 13, len(agree) + 1) if 5 * sum(agree[a:b]) >= 4 * (b - a)]
+    assert (found is not None) == bool(enough)
+    if found:
+        start, end, n = found
+        assert end - start >= 13 and n == sum(agree[start:end]) and 5 * n >= 4 * (end - start)
+        # Only words that do not agree were left off the longest stretch.
+        assert any(n == sum(agree[a : a + max(enough)]) for a in range(max(0, end - max(enough)), start + 1))
+
+
+def test_partial_quotes(spark):
+    rnd = random.Random(11)
+    item, rows = fixtures.words(rnd, 60), []
+    for k, runs in enumerate([(12, 4), (12, 3), (4, 12, 4), (12, 4, 4, 4, 4), (10, 5), (8, 8, 8)]):
+        quote, at = [], 5
+        for run in runs:
+            quote += ["zzz"] * bool(quote) + item[at + bool(quote) : at + bool(quote) + run]
+            at = 5 + len(quote)
+        rows.append((k, " ".join([*fixtures.words(rnd, 50, "fr"), *quote, *fixtures.words(rnd, 50, "fr")])))
+    rows.append((100, " ".join([*fixtures.words(rnd, 50, "fr"), *item[5:15], *fixtures.words(rnd, 50, "fr")])))
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.doc_start, r.n_words) for r in decontamination.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {0: (50, 17), 1: (50, 16), 2: (50, 22), 3: (50, 32), 4: (50, 16), 5: (50, 26)}
+
+
 def test_repeated_passages(spark):
     rnd = random.Random(3)
     shared = [fixtures.prose(rnd, n) for n in (51, 60, 80, 200)]
