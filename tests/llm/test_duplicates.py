@@ -179,6 +179,21 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(fixtures.no_documents(spark)).count() == 0
 
 
+def test_crowded_bucket_of_paragraphs(spark):
+    rnd = random.Random(12)
+    shared, rows = fixtures.words(rnd, 18), []
+    for _ in range(100):
+        own = fixtures.words(rnd, 8)
+        rows += [shared + own[:-1], shared + own[:-2] + own[-1:]]
+    docs = fixtures.documents(spark, [(k, " ".join(words)) for k, words in enumerate(rows)])
+    got = {r.doc_id: r.cluster_id for r in passages.repeated_paragraphs(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(21)} for w in rows]
+    like = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    true = classes(range(len(rows)), like)
+    assert len(like) >= 100 and set(got) == {k for pair in like for k in pair}
+    assert all((got[a] == got[b]) == (true[a] == true[b]) for a in got for b in got)
+
+
 def test_anchors_depend_on_content_only():
     rng = np.random.default_rng(1)
     passage = rng.integers(1, 2**63, 51, np.uint64)
