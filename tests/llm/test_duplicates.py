@@ -205,6 +205,17 @@ def test_anchors_depend_on_content_only():
         assert first
 
 
+def test_every_text_of_a_paragraph_has_one_at_its_ends():
+    rng = np.random.default_rng(2)
+    lengths = np.array([*range(20, 60), 0, 25, 24, 300])
+    ends = np.cumsum(lengths)
+    text, at, *_ = passages.paragraphs(rng.integers(1, 2**63, ends[-1], np.uint64), ends)
+    for k, n in enumerate(lengths):
+        held = set(at[text == k].tolist())
+        assert held >= {0, n - 25} if n >= 25 else not held
+    assert passages.paragraphs(np.empty(0, np.uint64), np.array([0, 0]))[0].size == 0
+
+
 def test_line_templates(spark):
     rnd = random.Random(4)
     rows = []
