@@ -258,9 +258,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     return pairs.select("doc_id", "item_id", (-F.col("best.col4")).alias("doc_start"), (-F.col("best.col3")).alias("n_words"), "best.n_agree", "best.coverage")
 
 
+def _by_text(df: DataFrame, id_col: str):
+    """The id, or for rows without one a hash of the text, so that they are judged by their text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64("text"))
+
+
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no overlap with any item; rows without a doc_id stay."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
+    """The rows of ``docs`` whose doc_id has no overlap with any item; rows and items without an id go by their text."""
+    keyed = docs.withColumn("__key", _by_text(docs, "doc_id"))
+    items = benchmark.select(_by_text(benchmark, "item_id").alias("item_id"), "text")
+    leaks = overlaps(keyed, items, id_col="__key").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(leaks.hint("merge"), "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -154,6 +154,16 @@ def test_partial_quotes(spark):
     assert got == {0: (50, 17), 1: (50, 16), 2: (50, 22), 3: (50, 32), 4: (50, 16), 5: (50, 26)}
 
 
+def test_leaks_without_ids(spark):
+    rnd = random.Random(13)
+    named, nameless = fixtures.prose(rnd, 20), fixtures.prose(rnd, 20)
+    benchmark = spark.createDataFrame([(1, named), (None, nameless), (None, None)], "item_id long, text string")
+    around = lambda item: f"{fixtures.prose(rnd, 30, 'fr')} {item} {fixtures.prose(rnd, 30, 'de')}"
+    rows = [(None, around(named)), (None, around(nameless)), (5, around(nameless)), (None, "kept as it has no leak"), (None, None), (6, around(""))]
+    left = decontamination.remove_leaks(fixtures.documents(spark, rows), benchmark)
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in left.collect()) == sorted((repr(i), repr(t)) for i, t in rows[3:])
+
+
 def test_repeated_passages(spark):
     rnd = random.Random(3)
     shared = [fixtures.prose(rnd, n) for n in (51, 60, 80, 200)]
