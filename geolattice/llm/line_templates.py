@@ -5,9 +5,10 @@ are variable fields. In a leaf, a position of a line stays constant if enough li
 else it is a variable field as well. Lines that come out alike have a template in common. A template that recurs in
 many documents is dropped from all of them.
 
-Copies of a document repeat all of its lines, and they are no matter of this step. So a template's documents are
-counted by their surroundings: the least and the greatest leaf among a document's other lines. A template is dropped
-only if it stands in enough different surroundings, and in at least half as many as it has different texts.
+Copies of a document, and near copies of it, repeat most of its lines, and they are no matter of this step. So a
+template's texts are counted by how much of them is their own: the share of their tokens in lines of leaves that few
+texts have. A template is dropped if it stands in enough texts of which half is their own; or else, as a menu on short
+pages does, in enough texts of which an eighth is their own, if most of its texts are like that.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from . import common
 
 #: Leading tokens that choose a leaf.
 DEPTH = 3
-#: Different surroundings that make a template recurrent; their least share of the different texts that have it.
-RECURS, SHARE = 8, 0.5
+#: Different texts that make a leaf common, a token of it constant, or a template recurrent.
+RECURS = 8
+#: A text is its own document for certain from a half on, and perhaps from an eighth on: then three quarters of the
+#: template's texts must be so. (One part in HALF, one in SOME, MOST[0] of MOST[1].)
+HALF, SOME, MOST = 2, 8, (3, 4)
 #: Share of tokens that must be constant, else a line is a template of its own.
 CONSTANT = 0.7
 #: Keys up to which a set is sent to all executors (16 bytes each); beyond, it is joined by a shuffle.
@@ -59,16 +63,11 @@ def _key(docs: DataFrame) -> Column:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """key, body (hash of the text), at, line, leaf, least and greatest other leaf, of every line that has tokens."""
-    lines = docs.select(_key(docs), F.xxhash64("text").alias("body"), F.split("text", "\n").alias("lines"))
-    leaves = lines.withColumn("leaves", _leaves(F.col("lines")))
-    ends = leaves.withColumn("low", F.array_min("leaves")).withColumn("high", F.array_max("leaves"))
-    ends = ends.withColumn("low2", F.array_min(F.filter("leaves", lambda x: x != F.col("low")))).withColumn("high2", F.array_max(F.filter("leaves", lambda x: x != F.col("high"))))
-    each = ends.select("key", "body", "low", "high", "low2", "high2", F.posexplode(F.arrays_zip("lines", "leaves")).alias("at", "one"))
-    other = lambda end, second: F.coalesce(F.when(F.col("one.leaves") == F.col(end), F.col(second)).otherwise(F.col(end)), F.lit(-1))
-    return each.where("one.leaves is not null").select(
-        "key", "body", "at", F.col("one.lines").alias("line"), F.col("one.leaves").alias("leaf"), other("low", "low2").alias("least"), other("high", "high2").alias("greatest")
-    )
+    """key, body (hash of the text), size (tokens of the text), at, tokens, leaf, of every line that has tokens."""
+    cut = docs.select(_key(docs), F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), _tokens).alias("lines"))
+    sized = cut.withColumn("size", F.aggregate("lines", F.lit(0).cast("long"), lambda n, t: n + F.when(t[0] != "", F.size(t)).otherwise(0)))
+    each = sized.select("key", "body", "size", F.posexplode("lines").alias("at", "tokens"))
+    return each.withColumn("leaf", _leaf(F.col("tokens"))).where("leaf is not null")
 
 
 def _sent(keys: DataFrame, count: int) -> DataFrame:
@@ -77,11 +76,11 @@ def _sent(keys: DataFrame, count: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """key, at (array of positions from 0): the lines of each document whose template recurs."""
-    leaves = docs.select(F.explode(_leaves(F.split("text", "\n"))).alias("leaf")).where("leaf is not null")
+    leaves = docs.select(F.xxhash64("text").alias("body"), F.explode(_leaves(F.split("text", "\n"))).alias("leaf")).where("leaf is not null").distinct()
     busy = common.materialise(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURS).select("leaf"), "line-leaves", held)
     inside = _occurrences(docs).join(_sent(busy, busy.count()), "leaf")
-    masked = inside.withColumn("tokens", F.transform(_tokens(F.col("line")), _mask)).withColumn("shape", F.xxhash64(F.array_join("tokens", " ")))
-    lines = common.materialise(masked.drop("line"), "line-candidates", held)
+    masked = inside.withColumn("tokens", F.transform("tokens", _mask)).withColumn("shape", F.xxhash64(F.array_join("tokens", " ")))
+    lines = common.materialise(masked, "line-candidates", held)
 
     shapes = lines.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("n"), F.any_value("tokens").alias("tokens"))
     placed = common.materialise(shapes.select("leaf", "shape", "n", F.posexplode("tokens").alias("place", "token")), "line-tokens", held)
@@ -94,11 +93,13 @@ def dropped_lines(docs: DataFrame, held: list[DataFrame] | None = None) -> DataF
     template = F.when(F.col("share") >= CONSTANT, F.xxhash64(F.lit("t"), "leaf", "mixed")).otherwise(F.xxhash64(F.lit("s"), "leaf", "shape"))
     templates = common.materialise(merged.select("leaf", "shape", template.alias("template")), "line-templates", held)
 
-    counted = lines.select("leaf", "shape", "body", "least", "greatest").join(templates, ["leaf", "shape"])
-    seen = [counted.select("template", F.lit(i).alias("what"), F.col(c).alias("value")).distinct() for i, c in enumerate(("body", "least", "greatest"))]
-    numbers = seen[0].union(seen[1]).union(seen[2]).groupBy("template").agg(*(F.count_if(F.col("what") == i).alias(c) for i, c in enumerate(("docs", "low", "high"))))
-    around = F.greatest("low", "high")
-    recurrent = numbers.where((around >= RECURS) & (around >= SHARE * F.col("docs"))).select("template")
+    # What a text shares, with each of its lines once, however many rows have that text.
+    once = lines.groupBy("body", "at").agg(F.any_value("size").alias("size"), F.any_value(F.size("tokens")).alias("n"))
+    own = once.groupBy("body").agg(F.any_value("size").alias("size"), F.sum("n").alias("shared")).select("body", (F.col("size") - F.col("shared")).alias("own"), "size")
+    seen = lines.select("leaf", "shape", "body").join(templates, ["leaf", "shape"]).select("template", "body").distinct().join(own, "body")
+    numbers = seen.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), *(F.count_if(F.col("own") * part >= F.col("size")).alias(name) for name, part in (("half", HALF), ("some", SOME))))
+    few = (F.col("some") >= RECURS) & (F.col("some") * MOST[1] >= F.col("texts") * MOST[0])
+    recurrent = numbers.where((F.col("half") >= RECURS) | few).select("template")
     bad = common.materialise(templates.join(recurrent, "template").select("leaf", "shape"), "line-recurrent", held)
     hit = lines.select("key", "at", "leaf", "shape").join(_sent(bad, bad.count()), ["leaf", "shape"])
     return hit.groupBy("key").agg(F.collect_set("at").alias("at"))
@@ -145,16 +146,10 @@ WITH l AS (
   SELECT doc_id, text, spot, tokens, array_to_string(tokens, ' ') AS shape,
          CAST('0x' || substr(md5(len(tokens) || ' ' || array_to_string(tokens[1:3], ' ')), 1, 15) AS BIGINT) AS leaf
   FROM t WHERE len(tokens) > 0
-), e AS (
-  SELECT doc_id, text, min(leaf) AS low, max(leaf) AS high FROM f GROUP BY 1, 2
-), e2 AS (
-  SELECT f.doc_id, f.text, min(leaf) FILTER (leaf <> low) AS low2, max(leaf) FILTER (leaf <> high) AS high2
-  FROM f JOIN e ON f.doc_id = e.doc_id AND f.text = e.text GROUP BY 1, 2
-), o AS (
-  SELECT f.*, coalesce(CASE WHEN leaf = low THEN low2 ELSE low END, -1) AS least, coalesce(CASE WHEN leaf = high THEN high2 ELSE high END, -1) AS greatest
-  FROM f JOIN e ON f.doc_id = e.doc_id AND f.text = e.text JOIN e2 ON f.doc_id = e2.doc_id AND f.text = e2.text
 ), c AS (
-  SELECT * FROM o WHERE leaf IN (SELECT leaf FROM o GROUP BY leaf HAVING count(*) >= 8)
+  SELECT * FROM f WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT text) >= 8)
+), ownness AS (
+  SELECT text, sum(n) AS size, sum(CASE WHEN leaf IN (SELECT leaf FROM c) THEN 0 ELSE n END) AS own FROM (SELECT DISTINCT text, spot, len(tokens) AS n, leaf FROM f) GROUP BY 1
 ), s AS (
   SELECT leaf, shape, count(*) AS n, any_value(tokens) AS tokens FROM c GROUP BY 1, 2
 ), p AS (
@@ -166,11 +161,13 @@ WITH l AS (
   FROM p LEFT JOIN u ON p.leaf = u.leaf AND p.place = u.place AND p.token = u.token
 ), m AS (
   SELECT leaf, shape, CASE WHEN count(constant) >= 0.7 * count(*) THEN 't ' || string_agg(coalesce(constant, '<*>'), ' ' ORDER BY place) ELSE 's ' || shape END AS template FROM g GROUP BY 1, 2
+), x AS (
+  SELECT DISTINCT c.leaf, m.template, c.text FROM c JOIN m ON c.leaf = m.leaf AND c.shape = m.shape
 ), r AS (
-  SELECT c.leaf, m.template, count(DISTINCT c.text) AS docs, greatest(count(DISTINCT least), count(DISTINCT greatest)) AS around
-  FROM c JOIN m ON c.leaf = m.leaf AND c.shape = m.shape GROUP BY 1, 2
+  SELECT leaf, template, count(*) AS texts, count(*) FILTER (own >= 0.5 * size) AS half, count(*) FILTER (own >= 0.125 * size) AS eighth
+  FROM x JOIN ownness ON x.text = ownness.text GROUP BY 1, 2
 ), bad AS (
-  SELECT m.leaf, m.shape FROM m JOIN r ON m.leaf = r.leaf AND m.template = r.template WHERE around >= 8 AND around >= 0.5 * docs
+  SELECT m.leaf, m.shape FROM m JOIN r ON m.leaf = r.leaf AND m.template = r.template WHERE half >= 8 OR (eighth >= 8 AND eighth >= 0.75 * texts)
 ), d AS (
   SELECT DISTINCT doc_id, text, spot FROM c JOIN bad ON c.leaf = bad.leaf AND c.shape = bad.shape
 ), k AS (

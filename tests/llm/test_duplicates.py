@@ -245,6 +245,35 @@ def test_line_templates(spark):
     assert all("a line that copies only have" in out[k].text for k, _ in copies)
 
 
+@pytest.mark.parametrize("texts, shared, own", [(300, 10, 10), (300, 10, 2), (60, 3, 1)])
+def test_boilerplate_goes_whatever_stands_around_it(spark, texts, shared, own):
+    rnd = random.Random(texts + own)
+    menu = [fixtures.prose(rnd, rnd.randint(6, 12)) for _ in range(shared)]
+    rows = [(k, [*menu, *(fixtures.prose(rnd, 12) for _ in range(own))]) for k in range(texts)]
+    docs = fixtures.documents(spark, [(k, "\n".join(rnd.sample(lines, len(lines)))) for k, lines in rows])
+    out = {r.doc_id: r for r in line_templates.drop_recurrent_lines(docs).collect()}
+    assert all(out[k].n_dropped == shared and sorted(out[k].text.split("\n")) == sorted(lines[shared:]) for k, lines in rows)
+
+
+def test_near_copies_keep_their_lines(spark):
+    rnd = random.Random(21)
+    lines, menu = [fixtures.prose(rnd, 12) for _ in range(20)], fixtures.prose(rnd, 9)
+
+    def edited():
+        own = [line.split() for line in lines]
+        for _ in range(4):
+            rnd.choice(own)[rnd.randrange(12)] = "changed" + fixtures.words(rnd, 1)[0]
+        return [" ".join(words) for words in own]
+
+    copies = [(k, "\n".join([menu, *edited()])) for k in range(200)] + [(200 + k, "\n".join([menu, *lines])) for k in range(20)]
+    kept = line_templates.drop_recurrent_lines(fixtures.documents(spark, copies)).collect()
+    assert sum(r.n_dropped for r in kept) == 0
+    # Other documents that have one of their lines make that line a template, and only that one.
+    others = [(1000 + k, "\n".join([menu, *(fixtures.prose(rnd, 12) for _ in range(5))])) for k in range(30)]
+    out = line_templates.drop_recurrent_lines(fixtures.documents(spark, copies + others)).collect()
+    assert {r.n_dropped for r in out} == {1} and all(menu not in r.text for r in out)
+
+
 def test_lines_of_odd_rows(spark):
     odd = fixtures.odd_documents(spark)
     out = line_templates.drop_recurrent_lines(odd)
@@ -254,6 +283,8 @@ def test_lines_of_odd_rows(spark):
     only = fixtures.documents(spark, [(k, f"the same line\n{fixtures.prose(random.Random(k), 9)}") for k in range(12)] + [(50, "the same line"), (51, "the same line\nthe same line")])
     texts = {r.doc_id: r.text for r in line_templates.drop_recurrent_lines(only).collect()}
     assert texts[50] == "" and texts[51] == "" and "same line" not in texts[0]
+    again = only.union(only)
+    assert {(r.doc_id, r.text) for r in line_templates.drop_recurrent_lines(again).collect()} == set(texts.items())
 
 
 @pytest.mark.parametrize("rows", ["odd", "none", "one", "nameless"])
