@@ -67,10 +67,14 @@ class Page:
     runs: list[tuple[int, str]]
 
 
-def read(source: str) -> Page:
-    """Parse leniently: unknown, unclosed and stray tags are taken as browsers mostly do; a cut tag at the end goes."""
+def read(source: str, *, labelled: bool = False) -> Page:
+    """Parse leniently: unknown, unclosed and stray tags are taken as browsers mostly do; a cut tag at the end goes.
+
+    Only made-up pages are ``labelled``: elsewhere data-keep is an attribute like others that no feature reads.
+    """
     page = Page([-1], [KIND["html"]], [0], [-1], [[0, 0, 0, 0, 0]], [])
     stack: list[tuple[str, int]] = [("html", 0)]  # (tag, element), inline elements with that of their block
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open, so that no search goes through it
     node, links, unseen = 0, 0, 0
     pieces: list[str] = []
     at = 0
@@ -87,6 +91,7 @@ def read(source: str) -> Page:
     def pop():
         nonlocal node, links, unseen
         tag, _ = stack.pop()
+        places[tag].pop()
         if tag in BLOCKS:
             flush()
         if tag == "a":
@@ -116,19 +121,17 @@ def read(source: str) -> Page:
                 continue
         tag = tag.lower()
         if close:
-            if any(t == tag for t, _ in stack[1:]):
-                while stack[-1][0] != tag:
+            if places.get(tag):
+                while len(stack) > places[tag][-1] + 1:
                     pop()
                 pop()
             continue
         for ended in _CLOSERS.get(tag, ()):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == ended:
+            if places.get(ended):
+                depth = places[ended][-1]
+                if all(not places.get(b) or places[b][-1] < depth for b in ENDS_BEFORE[ended][1]):
                     while len(stack) > depth:
                         pop()
-                    break
-                if stack[depth][0] in ENDS_BEFORE[ended][1]:
-                    break
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -148,8 +151,9 @@ def read(source: str) -> Page:
             if "=" in inside:
                 for name, a, b, c in _ATTRIBUTE.findall(inside):
                     value = a or b or c
-                    if name == "data-keep":
-                        keep = int(value)
+                    if name.lower() == "data-keep":
+                        if labelled:
+                            keep = int(value)
                         continue
                     for token in _TOKEN.findall(value):
                         part = TOKENS.get(token.lower())
@@ -168,6 +172,7 @@ def read(source: str) -> Page:
             unseen += 1
             if tag in ("button", "select", "textarea"):
                 page.counts[node][4] += 1
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, node))
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
@@ -304,7 +309,7 @@ def labels_of(page: Page) -> np.ndarray:
 @functools.cache
 def model(pages: int = PAGES, seed: int = SEED) -> BoostedTrees:
     """Trained on that many made-up pages; the same each time."""
-    made = [read(PageMaker(seed + i).page()) for i in range(pages)]
+    made = [read(PageMaker(seed + i).page(), labelled=True) for i in range(pages)]
     labels = np.concatenate([labels_of(p) for p in made]).astype(float)
     weights = np.concatenate([np.full(len(p.parent), min(1.0, 20 / len(p.parent))) for p in made])
     return boost(np.vstack([features(p) for p in made]), labels, weights)
