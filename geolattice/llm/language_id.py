@@ -22,8 +22,10 @@ from . import common
 
 #: Size of the model: buckets of the hash, embedding width, lengths of n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 17, 16, (1, 2, 3, 4)
-#: Labelled rows that the model is fitted on: so many of each language at most, of so many languages.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 300, 64
+#: Labelled rows that the model is fitted on: so many of each language at most, fewer of each if that were more in all.
+SAMPLE_PER_LANGUAGE, SAMPLE = 300, 19_200
+#: Different buckets of a row of the sample at most, the most frequent ones: with SAMPLE, this bounds what is collected.
+SAMPLE_BUCKETS = 4096
 #: Share of the sample that calibrates; both limits of rejection lie so much under the lowest of right texts there.
 CALIBRATION, MARGIN = 0.2, 0.9
 EPOCHS, RATE, SEED = 6, 0.5, 7
@@ -31,11 +33,14 @@ EPOCHS, RATE, SEED = 6, 0.5, 7
 REMEMBERED = 250_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor digits: numbers in circles, fractions, Roman numerals.
+_NUMERIC = re.compile("[" + "".join(map(re.escape, (c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha()))) + "]")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
+    lower = text.lower()
+    return _WORD.findall(lower if lower.isascii() else _NUMERIC.sub(" ", lower))
 
 
 def subwords(word: str) -> list[int]:
@@ -161,17 +166,18 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
 def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Fit on a sample of the labelled rows whose crc32(id as text) mod 4 is not 2, chosen by a hash of the id.
 
-    The sample holds about SAMPLE_PER_LANGUAGE rows of each of the MOST_LANGUAGES most frequent labels, whole texts.
-    Null ids, null texts and null labels are not learned from; a table without labelled rows gives an empty model.
+    The sample holds SAMPLE_PER_LANGUAGE rows of each label, whole texts, or with very many labels an equal share of
+    SAMPLE (one row at least) of each; of a row, the SAMPLE_BUCKETS most frequent subwords. Null ids, null texts and null labels are not learned from; a table without labelled rows gives an empty model.
     """
     common.ship(docs.sparkSession)
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("label"))
     known = known.where("id is not null and text is not null and label is not null").where(~held_out(F.col("id")))
-    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("label").count().collect()
     if not counts:
         return fit([])
+    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts)))
     fine = 1 << 30
-    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], min(fine, int(1.3 * SAMPLE_PER_LANGUAGE / r["count"] * fine) + 1))))
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], min(fine, int((1.3 * each + 20) / r["count"] * fine) + 1))))
     drawn = known.withColumn("rank", F.pmod(F.xxhash64("id"), F.lit(fine))).where(F.col("rank") < shares[F.col("label")])
 
     def features(frames):
@@ -187,6 +193,8 @@ def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", i
                 for w, n in often.items():
                     for b in subwords(w):
                         dense[b] = dense.get(b, 0) + n
+                if len(dense) > SAMPLE_BUCKETS:
+                    dense = dict(sorted(dense.items(), key=lambda x: (-x[1], x[0]))[:SAMPLE_BUCKETS])
                 if dense:
                     out.append((label, rank, np.fromiter(dense, "<i4").tobytes(), np.fromiter(dense.values(), "<i4").tobytes()))
             yield pd.DataFrame(out, columns=["label", "rank", "buckets", "counts"])
@@ -195,7 +203,7 @@ def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", i
     rows, taken = [], {}
     for r in sorted(sample.collect(), key=lambda r: (r["rank"], r["label"], r["buckets"])):
         taken[r["label"]] = taken.get(r["label"], 0) + 1
-        if taken[r["label"]] <= SAMPLE_PER_LANGUAGE:
+        if taken[r["label"]] <= each:
             rows.append((r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4").astype(np.float64)))
     return fit(rows)
 
