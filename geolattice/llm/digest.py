@@ -116,7 +116,8 @@ def with_edited_texts(docs: DataFrame) -> DataFrame:
     # Of rows that share the highest id only the first text is needed: the smallest, found in the range itself.
     copies = F.when(leads, F.array(F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(home[F.col("part")].alias("part"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("copy"))))
     dealt = ranged.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.part", "to.copy")
-    sorted_rows = dealt.repartition(parts, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), "text")
+    # Dealt out by range: a hash of so few numbers would give some tasks several ranges and others none.
+    sorted_rows = dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
 
