@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -42,31 +43,76 @@ def ship(spark: SparkSession) -> None:
     context._geolattice_shipped = True
 
 
+#: What this worker keeps from task to task: at most one tool, by the name of its kind and its source.
+_KEPT: dict = {}
+
+
+def kept_tool(kind: str, source: bytes, build):
+    """The worker's tool of this kind for this source. It stays for the next task that ``worker_memory(kind)`` runs."""
+    key = (kind, hash(source))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build(source)
+    return _KEPT[key]
+
+
 @contextlib.contextmanager
-def worker_memory():
+def worker_memory(kind: str | None = None):
     """For the run of a task: no scans of large caches for garbage; afterwards, free memory goes back to the system.
 
     Workers outlive their tasks, and beside an executor's heap there is little room for what they would hold on to.
+    So a tool of another kind than this task's, with all that it remembers, is let go of first.
     """
-    import pyarrow as pa
-
+    if any(held != kind for held, _ in _KEPT):
+        _KEPT.clear()
+        _give_back()
     gc.disable()
     try:
         yield
     finally:
         gc.enable()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
+
+
+def _give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+class Remembered(dict):
+    """What is known of parts of texts, in about ``most()`` bytes and what one batch adds; beyond, it starts anew."""
+
+    def __init__(self, most):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def make_room(self) -> bool:
+        """Forget all if it is full; whether that was so."""
+        full = self.size > self.most()
+        if full:
+            self.clear()
+            self.size = 0
+        return full
+
+    def learn(self, parts, values: list) -> None:
+        """``values`` are tuples or bytes of their own, or numbers."""
+        self.update(zip(parts, values, strict=True))
+        self.size += 100 * len(values) + sum(map(sys.getsizeof, parts)) + sum(map(sys.getsizeof, values))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``. Only where that is unset and everything runs on this machine (tests),
+    one of our own; on a cluster without that setting this is an error, since executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geolattice-shared-"))
             held = spark.sparkContext.getCheckpointDir()
         folder = held
@@ -77,6 +123,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/geolattice/{name}-{uuid.uuid4().hex}"
 
 
+#: The innermost list of a ``scratch`` that is open.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Inside, tables that a result is still read from are noted; they go when it is left, so write the result before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        discard_all(_OPEN.pop())
+
+
 def materialise(df: DataFrame, name: str, held: list[DataFrame] | None = None) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors.
 
@@ -89,6 +149,8 @@ def materialise(df: DataFrame, name: str, held: list[DataFrame] | None = None) -
     out._geolattice_path = path
     if held is not None:
         held.append(out)
+    elif _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -167,6 +229,22 @@ def spread(codes, values, lengths):
     return values[np.arange(len(shift)) + shift], ends
 
 
+#: Rows of a key from which on it is hot, and how many hot keys are sent to all executors at most (a few bytes each).
+HOT, SENDABLE = 1000, 200_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, held: list[DataFrame]) -> DataFrame:
+    """``rows`` joined to ``keyed`` (one row for each key; many: about how often ``rows`` has it) on ``key``.
+
+    Hot keys are sent to where their rows are, if their checked number allows; the others meet by a shuffle.
+    """
+    hot = materialise(keyed.where(F.col("many") >= HOT), "hot-keys", held)
+    if hot.count() > SENDABLE:
+        return rows.join(keyed.drop("many"), key)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("many") < HOT).drop("many"), key)
+    return few.unionByName(rows.join(F.broadcast(hot.drop("many")), key))
+
+
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
     """Components of the graph with ``edges`` (a, b: long): rows (node, component), smallest node as component.
 

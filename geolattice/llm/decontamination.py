@@ -29,8 +29,8 @@ OVERLAP, AGREE, MOSTLY = 13, 0.8, 10
 SPARSE, LARGEST = 64, 1 << 26
 #: Where in a hash its places in the table are read from.
 _PLACES = (0, 19, 38)
-#: Text bytes of a batch.
-HASHED_BYTES = 6_000_000
+#: Text bytes of a batch, and bytes of words that a task remembers.
+HASHED_BYTES, REMEMBERED = 6_000_000, 80_000_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,7 +44,7 @@ class WordHasher:
     """64-bit hashes of the words of a batch of texts; distinct chunks between ASCII white space are hashed once."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = common.Remembered(lambda: REMEMBERED)
 
     def hash(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, ends) of an Arrow array of texts: the words of text i end at ends[i]; null texts have none."""
@@ -52,14 +52,12 @@ class WordHasher:
         import pyarrow.compute as pc
         import xxhash
 
-        if len(self.known) > 500_000:
-            self.known.clear()
+        self.known.make_room()
         codes, parts, offsets = common.distinct_parts(pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string())))
         known = self.known
-        for part in parts:
-            if part not in known:
-                word = normalise(part)
-                known[part] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 1) | 1 if word else 0
+        new = [p for p in parts if p not in known]
+        named = map(normalise, new)
+        known.learn(new, [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1) | 1 if w else 0 for w in named])
         table = np.fromiter((known[p] for p in parts), np.uint64, len(parts))
         hashes = table[codes] if len(codes) else np.empty(0, np.uint64)
         real = hashes != 0
@@ -258,15 +256,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     return pairs.select("doc_id", "item_id", (-F.col("best.col4")).alias("doc_start"), (-F.col("best.col3")).alias("n_words"), "best.n_agree", "best.coverage")
 
 
-def _by_text(df: DataFrame, id_col: str):
-    """The id, or for rows without one a hash of the text, so that they are judged by their text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64("text"))
-
-
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no overlap with any item; rows and items without an id go by their text."""
-    keyed = docs.withColumn("__key", _by_text(docs, "doc_id"))
-    items = benchmark.select(_by_text(benchmark, "item_id").alias("item_id"), "text")
+    """The rows of ``docs`` that have no overlap with any item.
+
+    Rows are told apart by a 64-bit hash of id and text, so rows without an id, or with one that others have, are
+    judged by their own text; items without an id are searched for as well.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text")).alias("item_id"), "text")
     leaks = overlaps(keyed, items, id_col="__key").select(F.col("doc_id").alias("__key")).distinct()
     return keyed.join(leaks.hint("merge"), "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -53,7 +53,7 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, bits: long) of every row; null texts are like empty ones."""
+    """(doc_id, body: hash of the text, bits: long) of every row; null texts are like empty ones."""
     import pyarrow as pa
 
     common.ship(docs.sparkSession)
@@ -61,11 +61,12 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(record_batches):
         with common.worker_memory():
             for batch in common.batches(record_batches):
-                bits = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "bits"])
+                bits = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], names=["doc_id", "body", "bits"])
 
-    inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return inner.mapInArrow(run, "doc_id long, bits long")
+    text = F.col(f"`{text_col}`")
+    inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text"))
+    return inner.mapInArrow(run, "doc_id long, body long, bits long")
 
 
 def _apart(a, b):
@@ -112,19 +113,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with the same doc_id come out each. A null doc_id stays null and takes no part in the smallest one; a component
     of such rows only has a null component_id. An empty table gives an empty result.
     """
+    return _grouped(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, body, bits, component_id of every row."""
+    held: list[DataFrame] = []
     marked = common.materialise(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
     # The smallest id of its copies stands for a fingerprint; without any, the fingerprint itself would not be an id.
-    nodes = marked.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    held: list[DataFrame] = []
-    pairs = common.materialise(links(nodes.select("bits"), held), "simhash-links")
-    common.discard_all(held)
+    nodes = marked.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
+    pairs = common.materialise(links(nodes.select("bits"), held), "simhash-links", held)
     joined = common.connected_components(pairs)
     grouped = joined.join(nodes, joined["node"] == nodes["bits"]).select("component", "bits", "least")
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = grouped.join(smallest, "component").select("bits", "component_id")
     # Most fingerprints are linked to none: only the others need a join, and they keep their own smallest id.
-    classes = nodes.join(linked, "bits", "left").select("bits", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(classes, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    classes = nodes.join(linked, "bits", "left").select("bits", "many", F.coalesce("component_id", "least").alias("component_id"))
+    classes = common.materialise(classes, "simhash-classes", held)
+    out = common.materialise(common.join_hot(marked, classes, "bits", held), "simhash-rows")
+    common.discard_all([marked, *held])
+    return out
 
 
 def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:
@@ -134,7 +142,10 @@ def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest doc_id stays.
 
-    Equal doc_ids of a component stay together; rows with a null doc_id stay.
+    Rows go by id and text: another row with the id of one that goes is judged by its own text. Equal doc_ids of a
+    component stay together; rows with a null doc_id stay.
     """
-    groups = near_duplicates(docs).where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups.hint("merge"), "doc_id", "left_anti")
+    gone = _grouped(docs).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("body").alias("__of")).distinct()
+    marked = docs.withColumn("__body", F.xxhash64("text"))
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__body") == F.col("__of"))
+    return marked.join(gone.hint("merge"), same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -40,24 +40,25 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = grid.reshape(-1)
     bits = _bit_lengths(flat)
     live, cursor = np.arange(blocks), np.zeros(blocks, np.int64)
-    at, chosen = [], []
+    begun = np.zeros(len(flat), np.int8)  # at the first value of each word: its selector and 1
     while len(live):
         start = live * stride + cursor
         selector = _choose(bits, start)
-        at.append(start)
-        chosen.append(selector)
+        begun[start] = selector + 1
         cursor = cursor + COUNTS[selector]
         on = cursor < lengths[live]
         live, cursor = live[on], cursor[on]
-    at, chosen = np.concatenate(at), np.concatenate(chosen)
-    order = np.argsort(at, kind="stable")
-    at, chosen = at[order], chosen[order]
+    at = np.flatnonzero(begun)
+    chosen = begun[at].astype(np.int64) - 1
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(chosen):
         rows, width = np.flatnonzero(chosen == selector), int(WIDTHS[selector])
         if width:
-            for k in range(int(COUNTS[selector])):
-                words[rows] |= flat[at[rows] + k] << np.uint64(width * k)
+            start = at[rows]
+            packed = flat[start]
+            for k in range(1, int(COUNTS[selector])):
+                packed |= flat[start + k] << np.uint64(width * k)
+            words[rows] |= packed
     escaped = np.flatnonzero(chosen == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
     offsets = np.searchsorted(at, np.arange(blocks + 1) * stride)

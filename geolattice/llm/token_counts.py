@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Distinct pre-tokens that a worker remembers; it starts anew beyond, so memory stays bounded.
-REMEMBERED = 400_000
+#: Bytes of distinct pre-tokens that a worker remembers; it starts anew beyond, so memory stays bounded.
+REMEMBERED = 80_000_000
 MARK = "▁"
 
 
@@ -38,11 +38,10 @@ class PieceCounter:
         self.pattern = re.compile(rf"[ {MARK}]*[^ {MARK}{alone}]+|[ {MARK}]+" + (rf"|{alone}" if alone else ""))
         # Message fields that come twice are merged: normalizer_spec (3) { add_dummy_prefix (3): false }.
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=model + b"\x1a\x02\x18\x00")
-        self.counts: dict[str, int] = {}
+        self.counts = common.Remembered(lambda: REMEMBERED)
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.counts) > REMEMBERED:
-            self.counts.clear()
+        self.counts.make_room()
         known, totals = self.counts, []
         for text in texts:
             if not text:
@@ -51,21 +50,11 @@ class PieceCounter:
             often = Counter(self.pattern.findall(" " + text if self.prefix else text))
             new = [p for p in often if p not in known]
             if new:
-                known.update(zip(new, map(len, self.bare.encode(new, num_threads=1)), strict=True))
+                known.learn(new, [*map(len, self.bare.encode(new, num_threads=1))])
             totals.append(sum(n * known[p] for p, n in often.items()))
         return totals
 
 
-_COUNTERS: dict[int, PieceCounter] = {}
-
-
-def _counter(model: bytes) -> PieceCounter:
-    key = hash(model)
-    if key not in _COUNTERS:
-        _COUNTERS[key] = PieceCounter(model)
-    return _COUNTERS[key]
-
-
 def count_tokens(docs: DataFrame, model_path: str, *, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Add n_bytes, n_tokens (long) and over_limit (n_tokens > limit) to every row of ``docs``.
 
@@ -84,8 +73,8 @@ def count_tokens(docs: DataFrame, model_path: str, *, text_col: str = "text", li
     schema = T.StructType([*kept]).add("n_tokens", "long", False)
 
     def run(record_batches):
-        with common.worker_memory():
-            counter = _counter(model.value)
+        with common.worker_memory("pieces"):
+            counter = common.kept_tool("pieces", model.value, PieceCounter)
             for batch in common.batches(record_batches, "__text"):
                 totals = counter.count([t or "" for t in batch.column(len(kept)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(totals, pa.int64())], names=[f.name for f in schema.fields])

@@ -20,10 +20,10 @@ from . import common, simple8b
 
 #: Ids in a shard, but for a longer document, which is not cut.
 SHARD_IDS = 1 << 21
-#: Distinct chunks that a worker remembers; it starts anew beyond.
-REMEMBERED = 900_000
+#: Bytes of chunks that a worker remembers, and a quarter of it of pre-tokens; it starts anew beyond.
+REMEMBERED = 200_000_000
 #: Text bytes of a batch.
-ENCODED_BYTES = 4_000_000
+ENCODED_BYTES = 6_000_000
 #: What Spark's writer puts after each record; read_shard ignores it.
 END = "S8BEND\n"
 #: Stands in front of a text; a text that begins with it goes to the library as a whole.
@@ -32,6 +32,7 @@ _FIRST = "\x00"
 _SPACE = "\u0120"
 #: Latin letters and a run of stops, perhaps again after one line break: byte-level pre-tokenisers part these.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+"
+_STOPS = ".,;:!?"
 _SIMPLE = re.compile(f"({_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
 #: Where a space stands beside another or a line break, and the rarer white space.
 _BESIDE = ("  ", " \n", "\n ")
@@ -55,8 +56,8 @@ class ByteLevelEncoder:
         #: Whether a text may be cut at single spaces; else the library gets whole texts.
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not strips
         #: The ids of a chunk with the space before it, and of pre-tokens without one.
-        self.chunks: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.chunks = common.Remembered(lambda: REMEMBERED)
+        self.bare = common.Remembered(lambda: REMEMBERED // 4)
         #: Which ids begin with a space.
         self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
@@ -67,10 +68,8 @@ class ByteLevelEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.bare) > REMEMBERED // 4:
-            self.bare.clear()
+        self.chunks.make_room()
+        self.bare.make_room()
         out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
         plain = [i for i, t in enumerate(texts) if t and self.cuts and not self._odd(t)]
         rest = [i for i, t in enumerate(texts) if t and not (self.cuts and not self._odd(t))] if len(plain) < len(texts) else []
@@ -93,38 +92,41 @@ class ByteLevelEncoder:
     def _learn(self, parts: list[str]) -> None:
         """Ids of new chunks; letters and the stops behind them are pre-tokens that many chunks share."""
         chunks, bare = self.chunks, self.bare
-        words, mixed, rest = set(), [], []
-        for part in parts:
-            if part not in chunks:
-                if part.isascii() and part.isalpha():
-                    words.add(part)
+        new = [p for p in parts if p not in chunks]
+        words = {p for p in new if p.isalpha() and p.isascii()}
+        mixed, rest = [], []
+        for part in new:
+            if part not in words:
+                word = part.rstrip(_STOPS)
+                if word.isalpha() and word.isascii():
+                    mixed.append((part, word, (part[len(word) :],)))
                 elif found := _SIMPLE.fullmatch(part):
-                    mixed.append((part, found.groups()))
-                    if found.group(1) not in chunks:
-                        words.add(found.group(1))
+                    word, *cut = found.groups()
+                    mixed.append((part, word, [p for p in cut if p]))
                 else:
                     rest.append(part)
+        words.update(word for _, word, _ in mixed if word not in chunks)
         self._words([*words])
-        pieces = {p for _, cut in mixed for p in cut[1:] if p and p not in bare}
-        pieces.update(p[1:] for p in rest if p[0] == _FIRST and p[1:] not in bare)
-        for piece, code in zip(pieces, self._library([*pieces]), strict=True):
-            bare[piece] = code
-        for part, (word, *cut) in mixed:
-            chunks[part] = b"".join([chunks[word], *[bare[p] for p in cut if p]])
-        spaced = [p for p in rest if p[0] != _FIRST]
-        chunks.update(zip(spaced, self._library([" " + p for p in spaced]), strict=True))
-        chunks.update((p, bare[p[1:]]) for p in rest if p[0] == _FIRST)
+        pieces = {p for _, _, cut in mixed for p in cut}
+        pieces.update(p[1:] for p in rest if p[0] == _FIRST)
+        fresh = [p for p in pieces if p not in bare]
+        bare.learn(fresh, self._library(fresh))
+        # A word with nothing behind it but stops is the rule.
+        chunks.learn([part for part, _, _ in mixed], [chunks[word] + (bare[cut[0]] if len(cut) == 1 else b"".join([bare[p] for p in cut])) for _, word, cut in mixed])
+        spaced, first = [p for p in rest if p[0] != _FIRST], [p for p in rest if p[0] == _FIRST]
+        chunks.learn(spaced, self._library([" " + p for p in spaced]))
+        chunks.learn(first, [bare[p[1:]] for p in first])
 
     def _words(self, words: list[str]) -> None:
         """Ids of new words of letters. The library gets many as one text, where each begins with a space's token."""
         for start in range(0, len(words), 5000):
             some = words[start : start + 5000]
-            ids = np.array(self.tok.encode_batch_fast(["".join([" " + w for w in some])], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             begins = np.flatnonzero(self.spaced[ids]) * 4
             if len(begins) != len(some):
                 raise ValueError("this vocabulary does not begin words with their space")
-            plain = ids.tobytes()
-            self.chunks.update(zip(some, [plain[a:b] for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(plain)], strict=True)], strict=True))
+            plain, cuts = ids.tobytes(), [*begins.tolist(), 4 * len(ids)]
+            self.chunks.learn(some, [plain[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
 
     @staticmethod
     def _odd(text: str) -> bool:
@@ -135,14 +137,8 @@ class ByteLevelEncoder:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
 
-_ENCODERS: dict[int, ByteLevelEncoder] = {}
-
-
 def encoder(source: bytes) -> ByteLevelEncoder:
-    key = hash(source)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ByteLevelEncoder(source)
-    return _ENCODERS[key]
+    return common.kept_tool("bytes", source, ByteLevelEncoder)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
@@ -160,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
     def run(record_batches):
-        with common.worker_memory():
+        with common.worker_memory("bytes"):
             import os as worker_os
 
             from pyspark import TaskContext

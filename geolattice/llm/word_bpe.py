@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Distinct chunks between white space, and pre-tokens, that a worker remembers; it starts anew beyond.
-REMEMBERED = 900_000
+#: Bytes of chunks between white space that a worker remembers, and as much again of pre-tokens; it starts anew beyond.
+REMEMBERED = 72_000_000
+#: Pairs of neighbours that are remembered.
+ASKED = 500_000
 #: Text bytes of a batch: words of a larger one share more prefixes.
 TRIE_BYTES = 6_000_000
 _CHUNK = re.compile("[^ \t\n\r]+")
@@ -62,7 +64,7 @@ class TrieEncoder:
     def neighbours(self, left: str, right: str) -> bool:
         """Whether merging the symbols of both gives these two tokens; remembered with the right one."""
         self.asked += 1
-        if self.asked > 2_000_000:
+        if self.asked > ASKED:
             self.asked = 0
             self.endings.update((t, {}) for t, asked in self.endings.items() if asked)
         found = self.merge([*self.symbols(left), *self.symbols(right)]) == [left, right]
@@ -134,8 +136,7 @@ class Codec:
         self.gaps = None in self.names
         self.decimals = [str(i) for i in range(len(self.names))]
         #: Ids by pre-token, and by chunk of a text.
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.words, self.chunks = (common.Remembered(lambda: REMEMBERED) for _ in range(2))
 
     def _pieces(self, chunk: str) -> list[tuple[str, bool]]:
         """(piece, whether it is a special token) of a chunk; the library normalises and splits it."""
@@ -153,25 +154,25 @@ class Codec:
     def learn(self, chunks: list[str]) -> None:
         """Ids of chunks that are not known yet: their new pre-tokens make up one trie."""
         words, ids, special = self.words, self.ids, self.special
-        if len(words) > REMEMBERED:
-            words.clear()
+        words.make_room()
         new = {c: self._pieces(c) for c in chunks}
         missing = {p for pieces in new.values() for p, marked in pieces if not marked and p not in words}
-        for word, tokens in self.trie.encode(missing).items():
-            words[word] = tuple([ids[t] for t in tokens])
-        for chunk, pieces in new.items():
-            if len(pieces) == 1 and not pieces[0][1]:
-                self.chunks[chunk] = words[pieces[0][0]]
-            else:
-                self.chunks[chunk] = tuple([i for p, marked in pieces for i in ((special[p],) if marked else words[p])])
+        coded = self.trie.encode(missing)
+        words.learn(coded, [tuple([ids[t] for t in tokens]) for tokens in coded.values()])
+        self.chunks.learn(
+            new,
+            [
+                words[pieces[0][0]] if len(pieces) == 1 and not pieces[0][1] else tuple([i for p, marked in pieces for i in ((special[p],) if marked else words[p])])
+                for pieces in new.values()
+            ],
+        )
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         cut = [_CHUNK.findall(t) for t in texts]
         seen: set[str] = set()
         for chunks in cut:
             seen.update(chunks)
-        if len(self.chunks) + len(seen) > REMEMBERED:
-            self.chunks.clear()
+        self.chunks.make_room()
         known = self.chunks
         self.learn([c for c in seen if c not in known])
         return [[i for c in chunks for i in known[c]] for chunks in cut]
@@ -184,14 +185,8 @@ class Codec:
         return " ".join([names[i] for i in ids if 0 <= i < most and names[i] is not None])
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(source: bytes) -> Codec:
-    key = hash(source)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(source)
-    return _CODECS[key]
+    return common.kept_tool("words", source, Codec)
 
 
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", digests: bool = False, keep_text: bool = True) -> DataFrame:
@@ -215,7 +210,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
         schema = schema.add(name, {"n_tokens": "long", ids_col: T.ArrayType(T.IntegerType(), False)}.get(name, "string"), False)
 
     def run(record_batches):
-        with common.worker_memory():
+        with common.worker_memory("words"):
             tool = codec(source.value)
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
             for batch in common.batches(record_batches, "__text", TRIE_BYTES):
@@ -246,7 +241,7 @@ def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", text_col: str =
     schema = T.StructType([*inner.schema.fields]).add(text_col, "string", False)
 
     def run(record_batches):
-        with common.worker_memory():
+        with common.worker_memory("words"):
             tool = codec(source.value)
             for batch in record_batches:
                 texts = pa.array([tool.decode(ids or []) for ids in batch.column(at).to_pylist()], pa.string())

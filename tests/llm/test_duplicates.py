@@ -90,6 +90,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(fixtures.no_documents(spark)).count() == 0 and simhash.keep_one(fixtures.no_documents(spark)).count() == 0
 
 
+def test_rows_with_the_same_id_are_judged_by_their_text(spark):
+    rnd = random.Random(17)
+    text, other, item = (fixtures.prose(rnd, 60) for _ in range(3))
+    docs = fixtures.documents(spark, [(1, text), (7, text), (7, other), (7, f"{fixtures.prose(rnd, 40)} {item}")])
+    kept = {(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()}
+    assert (1, text) in kept and (7, other) in kept and (7, text) not in kept and len(kept) == 3
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontamination.remove_leaks(docs, benchmark).collect()} == {(1, text), (7, text), (7, other)}
+
+
 def test_leaks(spark):
     rnd = random.Random(2)
     items = [(i, fixtures.prose(rnd, n)) for i, n in enumerate([30, 30, 40, 16, 13, 7, 6, 3])] + [(None, "an item without a number has no name"), (90, None), (91, "")]
@@ -186,22 +196,74 @@ def test_repeated_passages(spark):
     assert all(len(out[i].text.split()) <= len(t.split()) - 25 for i, t in rows[4:])
     odd = fixtures.odd_documents(spark)
     assert passages.repeated_passages(odd).count() == 0 and passages.remove_passages(odd).count() == odd.count()
+    assert passages.remove_passages(odd).columns == odd.columns
     assert passages.repeated_passages(fixtures.no_documents(spark)).count() == 0
 
 
-def test_crowded_bucket_of_paragraphs(spark):
+def linked_alike(spark, rows, least, want):
+    """``rows`` are one paragraph each: how many of the linked pairs of a brute-force search are in one cluster."""
+    docs = fixtures.documents(spark, [(k, " ".join(words)) for k, words in enumerate(rows)])
+    got = {r.doc_id: r.cluster_id for r in passages.repeated_paragraphs(docs, least=least).collect() if r.at == 0 and r.n == len(rows[r.doc_id])}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    like = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    true = classes(range(len(rows)), like)
+    assert len(like) >= want and all(true[a] == true[b] for a in got for b in got if got[a] == got[b])
+    return sum(a in got and b in got and got[a] == got[b] for a, b in like) / len(like)
+
+
+def edited(rnd, words, n):
+    out = [*words]
+    for _ in range(n):
+        out[rnd.randrange(len(out))] = "changed" + fixtures.words(rnd, 1)[0]
+    return out
+
+
+def test_similar_paragraphs_of_all_lengths(spark):
+    rnd, rows = random.Random(14), []
+    for n in (10, 15, 20, 30, 40, 50, 51, 70, 100, 200):
+        for _ in range(8):
+            base = fixtures.words(rnd, n)
+            rows += [base, [*base], [*base[:-1], "other"], edited(rnd, base, 1), edited(rnd, base, 2), fixtures.words(rnd, n)]
+    assert linked_alike(spark, rows, 10, 300) >= 0.97
+
+
+def test_crowded_buckets_of_paragraphs(spark):
     rnd = random.Random(12)
     shared, rows = fixtures.words(rnd, 18), []
-    for _ in range(100):
+    for _ in range(60):  # pairs that share much with all the others
         own = fixtures.words(rnd, 8)
         rows += [shared + own[:-1], shared + own[:-2] + own[-1:]]
-    docs = fixtures.documents(spark, [(k, " ".join(words)) for k, words in enumerate(rows)])
-    got = {r.doc_id: r.cluster_id for r in passages.repeated_paragraphs(docs).collect()}
-    sets = [{tuple(w[i : i + 5]) for i in range(21)} for w in rows]
-    like = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    true = classes(range(len(rows)), like)
-    assert len(like) >= 100 and set(got) == {k for pair in like for k in pair}
-    assert all((got[a] == got[b]) == (true[a] == true[b]) for a in got for b in got)
+    for n, copies in ((100, 120), (80, 40)):  # copies that are alike to the first, and mostly not to each other
+        base = fixtures.words(rnd, n)
+        rows += [base, *(edited(rnd, base, 2 if n == 100 else 1) for _ in range(copies))]
+    assert linked_alike(spark, rows, 20, 400) >= 0.95
+
+
+def test_paragraphs_between_blank_lines(spark):
+    rnd = random.Random(15)
+    shared = [fixtures.prose(rnd, 30) for _ in range(16)]
+    wrapped = lambda text: text.replace(". ", ".\n")
+    rows = [(k, "\n \n".join([fixtures.prose(rnd, 40), wrapped(shared[k % 16]), fixtures.prose(rnd, 35)])) for k in range(80)]
+    got = passages.repeated_passages(fixtures.documents(spark, rows), least=20).collect()
+    assert {(r.doc_id, r.start_word, r.n_words) for r in got} == {(k, 40, 30) for k in range(80)}
+    assert {r.doc_id for r in got if r.removed} == set(range(16, 80))
+    assert passages.repeated_passages(fixtures.documents(spark, rows)).count() == 0
+
+
+def test_blocks():
+    counts = np.array([0, 3, 2, 0, 4, 0, 5, 6, 0, 7])  # one text with a gap between lines, one without, one empty
+    text, start, size = passages.blocks(counts, np.array([6, 3, 1]), 1)
+    assert (text.tolist(), start.tolist(), size.tolist()) == ([0, 1, 1, 2], [0, 9, 14, 20], [5, 5, 6, 7])
+    assert [len(x) for x in passages.blocks(np.array([0, 0]), np.array([1, 1]), 1)] == [0, 0, 0]
+
+
+def test_passages_go_by_row(spark):
+    rnd = random.Random(16)
+    shared = fixtures.prose(rnd, 60)
+    rows = [(1, shared), (7, f"{fixtures.prose(rnd, 30)} {shared}"), (7, "a text of its own"), (7, f"{shared} {fixtures.prose(rnd, 300)}"), (None, shared), (7, None)]
+    out = {(r.doc_id, r.n_chars): r.text for r in passages.remove_passages(fixtures.documents(spark, rows)).collect()}
+    texts = sorted(map(str, out.values()))
+    assert len(out) == 6 and sum(shared in t for t in texts) == 2 and "a text of its own" in texts and "None" in texts
 
 
 def test_anchors_depend_on_content_only():
@@ -209,21 +271,21 @@ def test_anchors_depend_on_content_only():
     passage = rng.integers(1, 2**63, 51, np.uint64)
     for before in (0, 1, 17, 100):
         words = np.concatenate([rng.integers(1, 2**63, before, np.uint64), passage, rng.integers(1, 2**63, 33, np.uint64)])
-        _, at, content, _ = passages.paragraphs(words, np.array([len(words)]))
-        held = {int(c) for a, c in zip(at, content, strict=True) if before <= a and a + passages.PARAGRAPH <= before + 51}
+        _, at, content = passages.windows(words, np.array([len(words)]))
+        held = {int(c) for a, c in zip(at, content, strict=True) if before <= a and a + passages.WINDOW <= before + 51}
         first = held if before == 0 else first & held
         assert first
 
 
-def test_every_text_of_a_paragraph_has_one_at_its_ends():
+def test_every_text_of_a_window_has_one_at_its_ends():
     rng = np.random.default_rng(2)
-    lengths = np.array([*range(20, 60), 0, 25, 24, 300])
+    lengths = np.array([*range(20, 90), 0, 44, 43, 300])
     ends = np.cumsum(lengths)
-    text, at, *_ = passages.paragraphs(rng.integers(1, 2**63, ends[-1], np.uint64), ends)
+    text, at, _ = passages.windows(rng.integers(1, 2**63, ends[-1], np.uint64), ends)
     for k, n in enumerate(lengths):
         held = set(at[text == k].tolist())
-        assert held >= {0, n - 25} if n >= 25 else not held
-    assert passages.paragraphs(np.empty(0, np.uint64), np.array([0, 0]))[0].size == 0
+        assert held >= {0, n - 44} if n >= 44 else not held
+    assert passages.windows(np.empty(0, np.uint64), np.array([0, 0]))[0].size == 0
 
 
 def test_line_templates(spark):

@@ -18,7 +18,7 @@ def extract(*sources):
 def test_held_out_pages():
     exact = right = total = 0
     for seed in range(120):
-        page = h.read(PageMaker(5_000_000 + seed).page())
+        page = h.read(PageMaker(5_000_000 + seed).page(), labelled=True)
         labels, kept = h.labels_of(page), np.array(h.decode(page, h.model().scores(h.features(page))))
         exact += "\n".join(t for n, t in page.runs if labels[n]) == "\n".join(t for n, t in page.runs if kept[n])
         right, total = right + (labels == kept).sum(), total + len(labels)
@@ -61,6 +61,21 @@ def test_odd_pages():
         extract(page[: random.Random(seed).randrange(len(page))], page.replace(">", "", 3), page.replace('"', "", 1))
 
 
+def test_the_label_of_training_is_no_input():
+    for value in ("yes", "", "1.5", "0", "1"):
+        assert extract(BODY.replace("<article", f'<article data-keep="{value}"').replace("<p>", f"<p DATA-KEEP={value}>")) == [TEXT]
+
+
+def test_deep_and_stray_tags_take_no_long_time():
+    import time
+
+    began = time.process_time()
+    n = 100_000
+    for page in ("<div>" * n, "<div>" * n + "</span>" * n, "<p><button>" + "<div><b>" * n, "<ul><li>" * n + "</li>" * n, "<table><tr><td>" * n, "<a b='>" * n):
+        assert len(extract(page + "<p>end")) == 1
+    assert time.process_time() - began < 120
+
+
 def test_table_of_pages(spark):
     rows = [(1, "u", BODY, 7), (1, "u", BODY, 7), (None, None, None, None), (2, "v", "", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
@@ -87,6 +102,24 @@ def test_languages(spark, labelled):
     assert not accepted[[0, 1, 2, 3, 5]].any() and labels[1:4] == ["und"] * 3 and (scores[1:4] == 0).all() and labels[4] == "en" and accepted[4]
 
 
+def test_texts_without_letters(labelled):
+    model = language_id.train(labelled)
+    texts = ["\u00bd \u00b2", "\u2460\u2461", "\u2167 12", "\u0663 \u4e00"[:1], "_ - 3", "\U0001f642"]
+    assert [(x, y) for x, y, _ in zip(*model.predict(texts), strict=True)] == [("und", 0.0)] * 6
+    assert model.predict(["\u2460 the tion"])[0] == ["en"]
+
+
+def test_any_number_of_labels(spark, labelled, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(1000 + i, " ".join(fixtures.words(rnd, 30)) + f" {chr(0x4E00 + i % 70)}{chr(0x5E00 + i % 70)}" * 20, f"x{i % 70}") for i in range(420)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "SAMPLE", 210)
+    model = language_id.train(many)
+    assert len(model.labels) == 70
+    monkeypatch.setattr(language_id, "SAMPLE_BUCKETS", 40)
+    assert language_id.train(labelled).labels == ["de", "en", "fr"]
+
+
 def test_held_out_rows_teach_nothing(spark, labelled):
     hidden = labelled.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), "xx").otherwise(labelled.lang))
     assert language_id.train(hidden).labels == ["de", "en", "fr"]
