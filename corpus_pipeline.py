@@ -49,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """The rows of the last stage. What a stage was read from is deleted once the stage is written."""
+    docs, written = common.documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, written = written, []
+        with common.scratch():
+            docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", written)
+        common.discard_all(before)
     return docs
