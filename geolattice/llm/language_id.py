@@ -33,14 +33,16 @@ EPOCHS, RATE, SEED = 6, 0.5, 7
 REMEMBERED = 250_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-#: Word characters that are neither letters nor digits: numbers in circles, fractions, Roman numerals.
-_NUMERIC = re.compile("[" + "".join(map(re.escape, (c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha()))) + "]")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters, lower-cased."""
     lower = text.lower()
-    return _WORD.findall(lower if lower.isascii() else _NUMERIC.sub(" ", lower))
+    found = _WORD.findall(lower)
+    if lower.isascii() or all(map(str.isalpha, found)):
+        return found
+    # Fractions, numbers in circles, Roman numerals and the like are word characters but no letters.
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def subwords(word: str) -> list[int]:
