@@ -31,8 +31,10 @@ def is_finite(value: Column | str) -> Column:
     return F.coalesce(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), F.lit(False))
 
 
-def local_time_millis(text: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Milliseconds since the epoch of a local time, in the session's time zone."""
+def local_time_millis(text: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss", zone: str | None = None) -> Column:
+    """Milliseconds since the epoch of a local time, in the session's time zone or in ``zone``."""
+    if zone is not None:
+        return F.unix_millis(F.to_timestamp_ltz(F.concat_ws(" ", _col(text), F.lit(zone)), F.lit(f"{pattern} VV")))
     return F.unix_millis(F.to_timestamp(_col(text), pattern))
 
 

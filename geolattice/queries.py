@@ -10,7 +10,7 @@ from .functions.geohash import geohash, geohash_box
 from .operators import keys, points
 from .operators.spatial_join import points_in_geometries
 from .plans.prefixes import knn_cells, minimum_bounding_prefixes
-from .sources import generate, geojson, keyed
+from .sources import delimited, generate, geojson, keyed
 
 SQUARE = "POLYGON ((-73.980844 40.758703, -73.987214 40.761369, -73.990839 40.756400, -73.984422 40.753642, -73.980844 40.758703))"
 TRIANGLE = "POLYGON ((-73.980844 40.758703, -73.987214 40.761369, -73.984422 40.753642, -73.980844 40.758703))"
@@ -189,7 +189,8 @@ def group_counts(spark, sf_dir):
 
 
 def reference_equals(spark, sf_dir):
-    return _events(spark, sf_dir).where(F.col("user_id").cast("string").cast("int") == 68).select("event_id", "user_id")
+    """The reference value stays a column of the scan, so the comparison reaches the files."""
+    return _events(spark, sf_dir).where(F.col("user_id") == 68).select("event_id", "user_id")
 
 
 def order_by_lon(spark, sf_dir):
@@ -214,9 +215,9 @@ def match_format(spark, sf_dir):
 
 
 def timestamp_to_millis(spark, sf_dir):
+    """Times without a zone are read as UTC, whatever the session's zone is."""
     rows = _events(spark, sf_dir).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"))
-    # Times without a zone are read as UTC, whatever the session's zone is.
-    return rows.select("event_id", F.unix_millis(F.to_timestamp_ltz(F.concat("t", F.lit(" +0000")), F.lit("yyyy-MM-dd HH:mm:ss Z"))).alias("millis"))
+    return rows.select("event_id", values.local_time_millis("t", zone="UTC").alias("millis"))
 
 
 def composite_keys(spark, sf_dir):
@@ -260,6 +261,45 @@ def nested_candidates(spark, sf_dir):
     return nested.select("user_id", F.size("candidates").cast("long").alias("n"), F.get("candidates", 0)["event_id"].alias("first_event"))
 
 
+def _written(df: DataFrame, separator: str, name: str) -> str:
+    """The path of ``df`` as delimited text with a header, fields as they are."""
+    path = keyed.working_path(df.sparkSession, name)
+    plain = df.write.option("header", True).option("sep", separator).option("quote", "").option("emptyValue", "")
+    plain.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def ingest_points(spark, sf_dir):
+    """Points written as delimited text (fields with spaces around them, empty ones, quotes) and ingested by key."""
+    rows = order_points(spark, sf_dir)
+    name = F.concat(F.lit('  "Point '), F.col("id").cast("string"), F.lit(" "))
+    fields = [F.col("lon").cast("string"), F.col("lat").cast("string"), F.concat(F.lit(" "), F.col("id").cast("string")), name, *[F.lit("")] * 5, F.lit("10036  ")]
+    path = _written(rows.select(*(f.alias(c) for f, c in zip(fields, delimited.POINT_COLUMNS, strict=True))), "\t", "points-text")
+    return delimited.read_points(spark, path).select(values.strict_long("id").alias("id"), "lon", "lat", "rowkey", "name", "city", "zip")
+
+
+def ingest_trips(spark, sf_dir):
+    """Trips, comma separated, keyed by their two times; the columns between are empty."""
+    key = F.col("o_orderkey").cast("string")
+    fields = {"vendor_id": key, "pu_ts": F.concat(F.lit("from "), key), "do_ts": F.concat(F.lit("to "), key), "total_amount": F.col("o_totalprice").cast("string")}
+    path = _written(_orders(spark, sf_dir).select(*(fields.get(c, F.lit("")).alias(c) for c in delimited.TRIP_COLUMNS)), ",", "trips-text")
+    return delimited.read_trips(spark, path).select(values.strict_long("vendor_id").alias("vendor_id"), "rowkey", values.strict_double("total_amount").alias("total_amount"), "flag")
+
+
+def _with_gaps(spark, sf_dir) -> DataFrame:
+    """Points of which some have no longitude, and some one that is no number."""
+    lon = F.when(F.col("id") % 5 == 0, F.lit(None).cast("double")).when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("lon"))
+    return order_points(spark, sf_dir).withColumn("lon", lon)
+
+
+def within_missing_coordinates(spark, sf_dir):
+    return points.within(_with_gaps(spark, sf_dir), SQUARE).select("id")
+
+
+def knn_missing_coordinates(spark, sf_dir):
+    return points.knn_exact(_with_gaps(spark, sf_dir), *AT, 10, rowkey_col="id").select("id", "distance")
+
+
 def bulk_points(spark, sf_dir):
     return generate.bulk_points(spark, 1000, (-75.99, -75.01, 44.01, 44.99), seed=11)
 
@@ -274,6 +314,7 @@ NAMES = (
     knn_per_partition, knn_per_cell, knn_merged, earliest_x_per_group, latest_x_per_group, first_n_per_bin, prefix_scan, key_range_scan, limited_scan, dedupe_last, dedupe_first, merge_cells, latest_cells,
     anti_join_unmatched, cell_semi_join, distinct_distances, group_counts, reference_equals, order_by_lon, order_by_geohash, parse_lenient, match_format, timestamp_to_millis, composite_keys,
     geojson_features, rectangles, great_circle, mercator, boxes, nested_candidates, bulk_points, bulk_within,
+    ingest_points, ingest_trips, within_missing_coordinates, knn_missing_coordinates,
 )
 
 
@@ -393,4 +434,8 @@ def oracle_sql() -> dict[str, str]:
         "boxes": f"WITH {_POINTS} SELECT id FROM pts WHERE lon BETWEEN -73.99::DOUBLE AND -73.98::DOUBLE AND lat BETWEEN 40.752::DOUBLE AND 40.76::DOUBLE",
         "nested_candidates": "WITH r AS (SELECT user_id, event_id, ts FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 2) SELECT user_id, count(*) AS n, arg_min(event_id, (ts, event_id)) AS first_event FROM r GROUP BY user_id",
         "bulk_within": "SELECT 1000::BIGINT AS n",
+        "ingest_points": f"{hashed} SELECT id, lon, lat, rowkey, '\"Point ' || id AS name, '' AS city, '10036' AS zip FROM hashed",
+        "ingest_trips": "SELECT o_orderkey AS vendor_id, 'from ' || o_orderkey || '|to ' || o_orderkey AS rowkey, o_totalprice::DOUBLE AS total_amount, '' AS flag FROM orders",
+        "within_missing_coordinates": f"WITH {_POINTS} SELECT id FROM pts WHERE {square} AND id % 5 <> 0 AND id % 7 <> 0",
+        "knn_missing_coordinates": f"WITH {_POINTS} SELECT id, {_DISTANCE} AS distance FROM pts WHERE id % 5 <> 0 AND id % 7 <> 0 ORDER BY distance, id LIMIT 10",
     }

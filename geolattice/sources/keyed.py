@@ -18,8 +18,15 @@ def write_sorted(df: DataFrame, path: str, *, rowkey_col: str = "rowkey", mode:
 
 
 def working_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); in a folder of our own if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='geolattice-tables-')}"
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Only where that is unset and everything runs on this machine, in a folder of our own; on a cluster it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='geolattice-tables-')}"
     return f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
