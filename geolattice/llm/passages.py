@@ -2,10 +2,9 @@
 
 Paragraphs are what blank lines part, or line breaks in texts without blank lines. Those of enough words are banded
 by MinHash of their five-word shingles; paragraphs that collide in a band are verified by exact Jaccard, all pairs of
-a bucket. A crowded bucket is not paired out: most of it is copies of one paragraph, so every member is verified against
-a centre, the one that meets most others in all its buckets; as long as that settles many, those alike to no centre so far
-give another one, which every member is verified against again. The last few are verified against those beside them
-in the order of their band keys. Similar paragraphs make up clusters, by connected components.
+a bucket. A crowded bucket is not paired out: its members are dealt into blocks, and a row of two blocks has all their
+pairs verified at once, by a product of matrices; out come only as many links as connect what all of these pairs would.
+Similar paragraphs make up clusters, by connected components.
 
 Passages repeat inside longer paragraphs and across them too. So every text is also cut into windows of ``WINDOW`` words
 that begin at anchors chosen by content (the least trigram hash of each run of ``RUN`` trigrams): a passage of WINDOW +
@@ -35,9 +34,9 @@ LEAST = 51
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and rows: paragraphs at the least similarity collide with a chance of 98.5 %.
 BANDS, ROWS = 8, 4
-#: Different paragraphs in a bucket above which they are not paired out; the share that another centre must settle for
-#: there to be one more; how many beside it each of the last ones is verified against.
-CROWDED, SETTLED, BESIDE = 24, 0.2, 12
+#: Different paragraphs in a bucket above which they are not paired out, but verified in blocks; about how many members
+#: and shingles a block has at most; how many blocks of a bucket one task takes with all others; columns of a product.
+CROWDED, BLOCK_MEMBERS, BLOCK_SHINGLES, SPREAD, PRODUCT = 24, 512, 32_768, 8, 4096
 HASHED_BYTES = 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TURNS = [np.uint64((2 * k + 1) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) for k in range(BANDS * ROWS)]
@@ -213,48 +212,84 @@ def _alike(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return joined.where(F.col("both") >= SIMILAR * (F.size("left") + F.size("right") - F.col("both"))).select("a", "b")
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """key, a: of each bucket the member whose crowded buckets are the largest together.
-
-    What most are copies of shares all its bands with many of them, a copy only those that its edits left alone.
+def block_links(left: tuple, right: tuple):
+    """(a, b) that connect what all similar pairs of two blocks connect; a block: (contents, sizes, shingles one after
+    another, without repeats in a member). Shingles of both blocks alone can agree, so one product counts these."""
+    (one, sizes, shingles), (other, others, more) = left, right
+    owner, holder = np.repeat(np.arange(len(one)), sizes), np.repeat(np.arange(len(other)), others)
+    shared = np.intersect1d(shingles, more)
+    at, place = np.searchsorted(shared, shingles), np.searchsorted(shared, more)
+    here, there = np.flatnonzero(np.isin(shingles, shared)), np.flatnonzero(np.isin(more, shared))
+    both = np.zeros((len(one), len(other)), np.float32)
+    for start in range(0, len(shared), PRODUCT):
+        grids = []
+        for rows, columns, chosen, height in ((owner, at, here, len(one)), (holder, place, there, len(other))):
+            some = chosen[(columns[chosen] >= start) & (columns[chosen] < start + PRODUCT)]
+            grids.append(np.zeros((height, min(PRODUCT, len(shared) - start)), np.float32))
+            grids[-1][rows[some], columns[some] - start] = 1
+        both += grids[0] @ grids[1].T
+    agree = both.astype(np.float64)
+    alike = agree >= SIMILAR * (sizes[:, None] + others[None, :] - agree)
+    a, b = [], []
+    rows, columns = alike.any(axis=1), alike.any(axis=0)  # those to be reached yet
+    while rows.any():
+        first = int(rows.argmax())
+        found = np.array([first])
+        rows[first] = False
+        while len(found):  # by turns to the other side and back
+            met = np.flatnonzero(alike[found].any(axis=0) & columns)
+            columns[met] = False
+            b.append(other[met])
+            found = np.flatnonzero(alike[:, met].any(axis=1) & rows)
+            rows[found] = False
+            b.append(one[found])
+            a.append(np.full(len(met) + len(found), one[first]))
+    return (np.concatenate(a), np.concatenate(b)) if a else (one[:0], other[:0])
+
+
+def _crowd_links(crowd: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what all similar pairs of each of the crowded buckets (key, content, size) connect.
+
+    Members are dealt into blocks by their content, and each block meets each other one of its bucket in one row; blocks
+    of large buckets are spread over tasks.
     """
-    met = members.groupBy("content").agg(F.sum("many").alias("met"))
-    return members.join(met, "content").groupBy("key").agg(F.max_by("content", F.struct("met", -F.col("content"))).alias("a"))
+    import pyarrow as pa
+
+    session = crowd.sparkSession
+    common.ship(session)
+    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
+    number = F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS))
+    dealt = crowd.join(crowd.groupBy("key").agg(number.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("content", F.lit(7)), F.col("blocks")))
+    rows = dealt.drop("size").join(distinct.select("content", "shingles"), "content")
+    blocks = rows.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("content", "shingles")).alias("m"))
+    blocks = blocks.select("key", "block", F.ceil(F.col("blocks") / SPREAD).alias("shares"), F.col("m.content").alias("contents"), F.transform("m.shingles", F.size).alias("sizes"), F.flatten("m.shingles").alias("shingles"))
+    left = blocks.withColumn("share", F.pmod("block", "shares")).repartition(parts, "key", "share")
+    right = blocks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).repartition(parts, "key", "share")
+    columns = [F.col(f"{side}.{name}").alias(f"{side}_{name}") for side in "xy" for name in ("contents", "sizes", "shingles")]
+    paired = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.block") <= F.col("y.block"))).select(*columns)
+
+    def run(record_batches):
+        with common.worker_memory():
+            for batch in record_batches:
+                for row in range(batch.num_rows):
+                    x, y = ([batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in range(at, at + 3)] for at in (0, 3))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in block_links(x, y)], names=["a", "b"])
+
+    return paired.mapInArrow(run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_paragraphs(distinct: DataFrame, held: list[DataFrame]) -> DataFrame:
-    """Links (a, b) between paragraphs (content, keys, shingles without repeats): all of small buckets; of crowded
-    ones, those to the centres, and between the last members and those beside them. Rows stay linear in members."""
-    members = distinct.select(F.explode("keys").alias("key"), "content", "keys", F.size("shingles").alias("size"))
+    """Links (a, b) between paragraphs (content, keys, shingles without repeats): all of small buckets; of crowded ones,
+    as many as connect what all of them would, with no pair of a bucket left out."""
+    members = distinct.select(F.explode("keys").alias("key"), "content", F.size("shingles").alias("size"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     members = common.materialise(members.join(sizes, "key"), "passage-buckets", held)
     few = members.where(F.col("many") <= CROWDED).select("key", "content", "size")
     pairs = few.alias("x").join(few.alias("y"), "key").where("x.content < y.content and least(x.size, y.size) >= 0.8 * greatest(x.size, y.size)")
     pairs = pairs.select(F.col("x.content").alias("a"), F.col("y.content").alias("b")).distinct()
-    edges = [common.materialise(_alike(pairs, distinct), "passage-edges", held)]
-    # Members of the same crowded buckets are compared once, however many of these they share.
-    crowd = members.where(F.col("many") > CROWDED).select("key", "content", "keys", "many")
-    left, count = crowd, crowd.count()
-    while count:
-        centres = common.materialise(_centres(left), "passage-centres", held)
-        stars = crowd.join(centres, "key").where("a <> content").select("a", F.col("content").alias("b")).distinct()
-        near = common.materialise(_alike(stars, distinct), "passage-near", held)
-        edges.append(near)
-        settled = centres.join(near, "a").select("key", F.col("b").alias("content")).union(centres.select("key", F.col("a").alias("content")))
-        left = common.materialise(left.join(settled.distinct(), ["key", "content"], "left_anti"), "passage-left", held)
-        before, count = count, left.count()
-        if count > (1 - SETTLED) * before:
-            break
-    if count:
-        order = Window.partitionBy("key").orderBy("keys", "content")
-        beside = left.select("content", F.array(*(F.lead("content", k).over(order) for k in range(1, BESIDE + 1))).alias("others"))
-        beside = beside.select("content", F.explode("others").alias("other")).where("other is not null")
-        pairs = beside.select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).distinct()
-        edges.append(common.materialise(_alike(pairs, distinct), "passage-last", held))
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.union(more)
-    return out.distinct()
+    edges = common.materialise(_alike(pairs, distinct), "passage-edges", held)
+    crowd = members.where(F.col("many") > CROWDED).select("key", "content", "size")
+    return edges.union(common.materialise(_crowd_links(crowd, distinct), "passage-crowds", held)).distinct()
 
 
 def repeated_paragraphs(docs: DataFrame, *, least: int = LEAST) -> DataFrame:

@@ -239,6 +239,38 @@ def test_crowded_buckets_of_paragraphs(spark):
     assert linked_alike(spark, rows, 20, 400) >= 0.95
 
 
+@pytest.mark.parametrize("members, shingles, spread", [(512, 32_768, 8), (30, 32_768, 1), (512, 2000, 2)])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, members, shingles, spread):
+    for name, value in (("BLOCK_MEMBERS", members), ("BLOCK_SHINGLES", shingles), ("SPREAD", spread)):
+        monkeypatch.setattr(passages, name, value)
+    rnd = np.random.default_rng(5)
+    new = lambda n: rnd.integers(-(2**62), 2**62, n).tolist()
+    shared, sets = new(30), []
+    for k in range(90):  # chains that share much with all others; the ends of each are not alike
+        own = new(12 + k % 20)
+        sets += [{*shared, *own[:-5], *new(3)}, {*shared, *own}, {*shared[5:], *own}]
+    sets += [{*new(40)} for _ in range(20)]
+    contents = new(len(sets))
+    rows = [(c, [1, 2 if i % 3 else 3, *new(6)], [*s]) for i, (c, s) in enumerate(zip(contents, sets, strict=True))]
+    distinct = spark.createDataFrame(rows, "content long, keys array<long>, shingles array<long>")
+    like = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    at = {c: i for i, c in enumerate(contents)}
+    got = {(max(at[r.a], at[r.b]), min(at[r.a], at[r.b])) for r in passages.similar_paragraphs(distinct, []).collect()}
+    assert got and classes(range(len(sets)), got) == classes(range(len(sets)), like) and len({*classes(range(len(sets)), like).values()}) > 100
+
+
+def test_links_of_blocks(monkeypatch):
+    monkeypatch.setattr(passages, "PRODUCT", 7)
+    for seed in range(30):
+        rnd = np.random.default_rng(seed)
+        sets = [rnd.choice(14, rnd.integers(5, 13), replace=False) for _ in range(24)]
+        block = lambda ids: (np.array(ids), np.array([len(sets[i]) for i in ids]), np.concatenate([sets[i] for i in ids]))  # noqa: E731, B023
+        left, right = [*range(10)], [*range(10, 24)] if seed % 2 else [*range(10)]
+        like = [(a, b) for a in left for b in right if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
+        got = [(int(a), int(b)) for a, b in zip(*passages.block_links(block(left), block(right)), strict=True)]
+        assert classes(range(24), got) == classes(range(24), like)
+
+
 def test_paragraphs_between_blank_lines(spark):
     rnd = random.Random(15)
     shared = [fixtures.prose(rnd, 30) for _ in range(16)]
