@@ -12,22 +12,42 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
+from itertools import compress
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Bytes of chunks between white space that a worker remembers, and as much again of pre-tokens; it starts anew beyond.
+#: Bytes of pre-tokens that a worker remembers, and a quarter of it of odd chunks; it starts anew beyond.
 REMEMBERED = 72_000_000
 #: Pairs of neighbours that are remembered.
 ASKED = 500_000
 #: Text bytes of a batch: words of a larger one share more prefixes.
-TRIE_BYTES = 6_000_000
-_CHUNK = re.compile("[^ \t\n\r]+")
-#: ASCII letters and at most one run of stops: split between the two, by any version of Unicode.
-_SIMPLE = re.compile("([A-Za-z]+)([.,;:!?]*)")
+TRIE_BYTES = 4_000_000
+#: Latin letters that are composed, and lower-cased one by one, in any version of Unicode; chunks of these and ASCII.
+_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_SAFE = re.compile(f"[!-~{_LETTERS}]+")
+#: Pre-tokens of such chunks in lower case, and what stands between chunks.
+_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^\\n0-9a-z{_LETTERS}]+|\\n")
+#: What they are pre-tokens of: how a vocabulary's file prepares texts.
+_PREPARED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: How a vocabulary of bytes writes those that are no printable character.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Ends a chunk's ids.
+_STOP = array("i", [-1]).tobytes()
 
 
 class TrieEncoder:
@@ -74,43 +94,46 @@ class TrieEncoder:
     def encode(self, words: set[str]) -> dict[str, list[str]]:
         """The tokens of each word. Sorted words walk the trie depth first: the stack holds the path to a node."""
         out: dict[str, list[str]] = {}
+        end, endings, neighbours = self.end, self.endings, self.neighbours
         path, last = "", [""]  # last[d]: the last token of the first d symbols
         for word in sorted(words):
-            shared, most = 0, min(len(path), len(word) - 1)
+            size = len(word)
+            shared, most = 0, min(len(path), size - 1)
             if path[:most] == word[:most]:
                 shared = most
             while shared < most and path[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for depth in range(shared + 1, len(word)):
-                last.append(self._last(word[:depth], "", last))
-            path = word[:-1]
             # The end of a word is a symbol of its own, so a word's last node is a leaf.
-            tail = self._last(word, self.end, last)
-            tokens, depth = [tail], len(word) + len(self.end) - len(tail)
+            for depth in range(shared + 1, size + 1):
+                # The one token that ends here and fits what ends before it; shorter ones first, as far as any goes.
+                prefix = word if depth == size else word[:depth]
+                mark = end if depth == size else ""
+                for start in range(depth - 1, -1, -1):
+                    token = prefix[start:] + mark
+                    asked = endings.get(token)
+                    if asked is None:
+                        raise ValueError(f"no encoding of {prefix!r}: the vocabulary misses a symbol")
+                    if asked is not False:
+                        if not start:
+                            break
+                        left = last[start]
+                        fits = asked.get(left)
+                        if neighbours(left, token) if fits is None else fits:
+                            break
+                else:
+                    raise ValueError(f"no encoding of {prefix!r}: the vocabulary misses a symbol")
+                last.append(token)
+            tokens, depth = [token], size + len(end) - len(token)
             while depth:
-                tokens.append(last[depth])
-                depth -= len(last[depth])
-            out[word] = tokens[::-1]
+                tokens.append(left := last[depth])
+                depth -= len(left)
+            tokens.reverse()
+            out[word] = tokens
+            last.pop()
+            path = word[:-1]
         return out
 
-    def _last(self, prefix: str, end: str, last: list[str]) -> str:
-        """The one token that ends here and fits what ends before it; shorter ones first, as far as any token goes."""
-        endings = self.endings
-        for start in range(len(prefix) - 1, -1, -1):
-            token = prefix[start:] + end
-            asked = endings.get(token)
-            if asked is None:
-                break
-            if asked is not False:
-                if not start:
-                    return token
-                left = last[start]
-                fits = asked.get(left)
-                if self.neighbours(left, token) if fits is None else fits:
-                    return token
-        raise ValueError(f"no encoding of {prefix!r}: the vocabulary misses a symbol")
-
 
 class Codec:
     """Encoding and decoding of whole texts with one tokenizer file; remembers chunks between white space."""
@@ -135,14 +158,14 @@ class Codec:
             self.names[i] = token
         self.gaps = None in self.names
         self.decimals = [str(i) for i in range(len(self.names))]
-        #: Ids by pre-token, and by chunk of a text.
-        self.words, self.chunks = (common.Remembered(lambda: REMEMBERED) for _ in range(2))
+        #: Whether pre-tokens of plain chunks are found by an expression of our own: only with this very preparation.
+        self.simple = {k: spec.get(k) for k in _PREPARED} == _PREPARED
+        #: Ids by pre-token, and by chunk where the library has to split it, as bytes.
+        self.words, self.odd = common.Remembered(lambda: REMEMBERED), common.Remembered(lambda: REMEMBERED // 4)
 
     def _pieces(self, chunk: str) -> list[tuple[str, bool]]:
         """(piece, whether it is a special token) of a chunk; the library normalises and splits it."""
         out = []
-        if simple := _SIMPLE.fullmatch(chunk):  # what the library gives for it needs no asking
-            return [(part.lower(), False) for part in simple.groups() if part]
         for part in self.split.split(chunk) if self.split and "<|" in chunk else [chunk]:
             if part in self.special:
                 out.append((part, True))
@@ -151,31 +174,72 @@ class Codec:
                 out.extend((p, False) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(plain))
         return out
 
-    def learn(self, chunks: list[str]) -> None:
-        """Ids of chunks that are not known yet: their new pre-tokens make up one trie."""
-        words, ids, special = self.words, self.ids, self.special
-        words.make_room()
-        new = {c: self._pieces(c) for c in chunks}
-        missing = {p for pieces in new.values() for p, marked in pieces if not marked and p not in words}
-        coded = self.trie.encode(missing)
-        words.learn(coded, [tuple([ids[t] for t in tokens]) for tokens in coded.values()])
-        self.chunks.learn(
-            new,
-            [
-                words[pieces[0][0]] if len(pieces) == 1 and not pieces[0][1] else tuple([i for p, marked in pieces for i in ((special[p],) if marked else words[p])])
-                for pieces in new.values()
-            ],
-        )
+    def _learn_words(self, words: list[str]) -> None:
+        """Ids of new pre-tokens, which make up one trie."""
+        ids, names = self.ids, [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in words]
+        coded = self.trie.encode(set(names))
+        self.words.learn(words, [array("i", [ids[t] for t in coded[name]]).tobytes() for name in names])
+
+    def _learn_odd(self, chunks: list[str]) -> None:
+        """Ids of new chunks that the library has to normalise and split."""
+        ids, special, new = self.ids, self.special, [self._pieces(c) for c in chunks]
+        coded = self.trie.encode({p for pieces in new for p, marked in pieces if not marked})
+        self.odd.learn(chunks, [array("i", [i for p, marked in pieces for i in ([special[p]] if marked else [ids[t] for t in coded[p]])]).tobytes() for pieces in new])
+
+    def _distinct(self, chunks: list[str]):
+        """(place of each chunk, ids, number of ids): ids lie one after another in the order of places."""
+        self.words.make_room()
+        self.odd.make_room()
+        plain = [self.simple and (c.isascii() or _SAFE.fullmatch(c) is not None) and c.isprintable() and "<|" not in c for c in chunks]
+        joined = "\n".join(compress(chunks, plain))
+        known, pieces = self.words, _PLAIN.findall(joined.lower() + "\n") if any(plain) else []
+        known["\n"] = _STOP
+        if new := [p for p in {*pieces} if p not in known]:
+            self._learn_words(new)
+        ids = np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
+        stops = np.flatnonzero(ids == -1)
+        lengths, ids = np.diff(stops, prepend=-1) - 1, ids[ids != -1]
+        plain = np.array(plain, bool)
+        place = np.where(plain, np.cumsum(plain), plain.sum() + np.cumsum(~plain)) - 1
+        if not plain.all():
+            rest = [c for c, p in zip(chunks, plain.tolist(), strict=True) if not p]
+            self._learn_odd([c for c in rest if c not in self.odd])
+            more = [self.odd[c] for c in rest]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(more), np.int32)])
+            lengths = np.concatenate([lengths, np.fromiter(map(len, more), np.int64, len(more)) // 4])
+        return place, ids, lengths
+
+    def encode_array(self, texts):
+        """(ids of all texts, where those of each begin, and where the last ones end) of an Arrow array of texts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        codes, chunks, offsets = common.distinct_parts(pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string())))
+        if not chunks:
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        place, ids, lengths = self._distinct(chunks)
+        ids, ends = common.spread(place[codes], ids, lengths)
+        return ids, np.concatenate([[0], ends])[offsets]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        cut = [_CHUNK.findall(t) for t in texts]
-        seen: set[str] = set()
-        for chunks in cut:
-            seen.update(chunks)
-        self.chunks.make_room()
-        known = self.chunks
-        self.learn([c for c in seen if c not in known])
-        return [[i for c in chunks for i in known[c]] for chunks in cut]
+        import pyarrow as pa
+
+        ids, bounds = self.encode_array(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tolist() for a, b in zip(bounds.tolist(), bounds.tolist()[1:], strict=False)]
+
+    def digests(self, ids, bounds) -> tuple[list[str], list[str]]:
+        """SHA-256 of the decimal ids of each text, joined by a space, and of what they decode to."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = []
+        for names in (self.decimals, self.names):
+            shown = pa.array(["" if n is None else n for n in names], pa.large_string())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), shown.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+            _, starts, data = joined.buffers()
+            at, data = np.frombuffer(starts, np.int64)[: len(joined) + 1].tolist(), memoryview(data or b"")
+            out.append([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)])
+        return out[0], out[1]
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens, joined by a space; unknown ids are left out."""
@@ -212,18 +276,12 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
     def run(record_batches):
         with common.worker_memory("words"):
             tool = codec(source.value)
-            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
             for batch in common.batches(record_batches, "__text", TRIE_BYTES):
-                texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-                rows = tool.encode_batch(texts)
+                ids, bounds = tool.encode_array(batch.column(len(kept)))
                 if digests:
-                    columns = [
-                        pa.array(map(len, rows), pa.int64()),
-                        pa.array([sha(" ".join([tool.decimals[i] for i in ids])) for ids in rows], pa.string()),
-                        pa.array([sha(tool.decode(ids)) for ids in rows], pa.string()),
-                    ]
+                    columns = [pa.array(np.diff(bounds), pa.int64()), *(pa.array(x, pa.string()) for x in tool.digests(ids, bounds))]
                 else:
-                    columns = [pa.array(rows, pa.list_(pa.field("element", pa.int32(), False)))]
+                    columns = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()), type=pa.list_(pa.field("element", pa.int32(), False)))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *columns], names=[f.name for f in schema.fields])
 
     return inner.mapInArrow(run, schema)
