@@ -3,7 +3,8 @@
 Documents are dealt out by ranges of doc_id and sorted there; each task encodes its range and makes shards of whole
 documents. Spark's own file writer puts each shard into a file of the shared folder, with its commit protocol, so
 lost tasks leave nothing behind and any file system that Spark knows will do. A text chunk that begins with a single
-space is a pre-token boundary of byte-level BPE, so the library encodes each distinct chunk once.
+space is a pre-token boundary of byte-level BPE, so each distinct chunk is split once, and the library encodes each
+distinct pre-token once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -20,20 +22,23 @@ from . import common, simple8b
 
 #: Ids in a shard, but for a longer document, which is not cut.
 SHARD_IDS = 1 << 21
-#: Bytes of chunks that a worker remembers, and a quarter of it of pre-tokens; it starts anew beyond.
-REMEMBERED = 200_000_000
-#: Text bytes of a batch.
-ENCODED_BYTES = 6_000_000
+#: Bytes of pre-tokens that a worker remembers, and a quarter of it of odd chunks; it starts anew beyond.
+REMEMBERED = 120_000_000
+#: Text bytes that are encoded at once, about: the more, the fewer distinct chunks to each of them.
+ENCODED_BYTES = 12_000_000
 #: What Spark's writer puts after each record; read_shard ignores it.
 END = "S8BEND\n"
-#: Stands in front of a text; a text that begins with it goes to the library as a whole.
+#: Stands in front of a text, and behind a chunk; a text that holds it goes to the library as a whole.
 _FIRST = "\x00"
+_BETWEEN = _FIRST + " "
 #: How a vocabulary of bytes writes a space.
 _SPACE = "\u0120"
-#: Latin letters and a run of stops, perhaps again after one line break: byte-level pre-tokenisers part these.
-_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+"
-_STOPS = ".,;:!?"
-_SIMPLE = re.compile(f"({_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
+#: Letters of plain chunks, letters and digits in any version of Unicode, and what byte-level pre-tokenisers make of these.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
+_ODD = re.compile(f"[^\\n\x00 -~{_LETTERS}]")
+_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\n\x00 0-9{_LETTERS}]+|\\n+(?![^\\n\x00])|\\n|\x00(?: \x00)?")
+#: Ends a chunk's ids: no id of a vocabulary.
+_STOP = np.array([0xFFFFFFFF], "<u4").tobytes()
 #: Where a space stands beside another or a line break, and the rarer white space.
 _BESIDE = ("  ", " \n", "\n ")
 _RARE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + ("\u180e", "\u200b", "\ufeff")
@@ -55,9 +60,11 @@ class ByteLevelEncoder:
         strips = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
         #: Whether a text may be cut at single spaces; else the library gets whole texts.
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not strips
-        #: The ids of a chunk with the space before it, and of pre-tokens without one.
-        self.chunks = common.Remembered(lambda: REMEMBERED)
-        self.bare = common.Remembered(lambda: REMEMBERED // 4)
+        #: The special strings of the vocabulary, which are found before anything else.
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        #: The ids of pre-tokens, as bytes, and of chunks that the library has to split.
+        self.words = common.Remembered(lambda: REMEMBERED)
+        self.odd = common.Remembered(lambda: REMEMBERED // 4)
         #: Which ids begin with a space.
         self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
@@ -68,20 +75,18 @@ class ByteLevelEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        self.chunks.make_room()
-        self.bare.make_room()
         out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and self.cuts and not self._odd(t)]
-        rest = [i for i, t in enumerate(texts) if t and not (self.cuts and not self._odd(t))] if len(plain) < len(texts) else []
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (plain if self.cuts and not self._odd(t) else rest).append(i)
         if plain:
             # A mark in front of a text tells its first chunk, which no space precedes, from the others.
             marked = pa.array([_FIRST + texts[i] for i in plain], pa.large_string())
             codes, parts, offsets = common.distinct_parts(pc.split_pattern(marked, " "))
-            self._learn(parts)
-            known = [self.chunks[p] for p in parts]
-            lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-            ids, ends = common.spread(codes, np.frombuffer(b"".join(known), "<u4"), lengths)
-            bounds = np.concatenate([[0], ends])[offsets]
+            place, known, lengths = self._distinct(parts)
+            ids, ends = common.spread(place[codes], known, lengths)
+            bounds = np.concatenate([[0], ends])[offsets].tolist()
             for k, i in enumerate(plain):
                 out[i] = ids[bounds[k] : bounds[k + 1]]
         # White space in runs: the library gets whole texts.
@@ -89,44 +94,53 @@ class ByteLevelEncoder:
             out[i] = np.frombuffer(code, "<u4")
         return out
 
-    def _learn(self, parts: list[str]) -> None:
-        """Ids of new chunks; letters and the stops behind them are pre-tokens that many chunks share."""
-        chunks, bare = self.chunks, self.bare
-        new = [p for p in parts if p not in chunks]
-        words = {p for p in new if p.isalpha() and p.isascii()}
-        mixed, rest = [], []
-        for part in new:
-            if part not in words:
-                word = part.rstrip(_STOPS)
-                if word.isalpha() and word.isascii():
-                    mixed.append((part, word, (part[len(word) :],)))
-                elif found := _SIMPLE.fullmatch(part):
-                    word, *cut = found.groups()
-                    mixed.append((part, word, [p for p in cut if p]))
-                else:
-                    rest.append(part)
-        words.update(word for _, word, _ in mixed if word not in chunks)
-        self._words([*words])
-        pieces = {p for _, _, cut in mixed for p in cut}
-        pieces.update(p[1:] for p in rest if p[0] == _FIRST)
-        fresh = [p for p in pieces if p not in bare]
-        bare.learn(fresh, self._library(fresh))
-        # A word with nothing behind it but stops is the rule.
-        chunks.learn([part for part, _, _ in mixed], [chunks[word] + (bare[cut[0]] if len(cut) == 1 else b"".join([bare[p] for p in cut])) for _, word, cut in mixed])
-        spaced, first = [p for p in rest if p[0] != _FIRST], [p for p in rest if p[0] == _FIRST]
-        chunks.learn(spaced, self._library([" " + p for p in spaced]))
-        chunks.learn(first, [bare[p[1:]] for p in first])
-
-    def _words(self, words: list[str]) -> None:
-        """Ids of new words of letters. The library gets many as one text, where each begins with a space's token."""
+    def _distinct(self, parts: list[str]):
+        """(place of each chunk, ids, number of ids): ids lie one after another in the order of places."""
+        self.words.make_room()
+        self.odd.make_room()
+        # Chunks with the space before them, between marks; the first one of a text has a mark in that space's place.
+        joined = _BETWEEN + _BETWEEN.join(parts) + _FIRST
+        odd = {m.start() for m in _ODD.finditer(joined)}
+        for string in self.special:
+            at = joined.find(string)
+            while at >= 0:
+                odd.add(at)
+                at = joined.find(string, at + 1)
+        plain = np.ones(len(parts), bool)
+        if odd:
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + len(_BETWEEN))
+            plain[np.searchsorted(ends, np.array([*odd]), side="right")] = False
+            joined = _BETWEEN + _BETWEEN.join(compress(parts, plain)) + _FIRST if plain.any() else _FIRST
+        known, pieces = self.words, _PLAIN.findall(joined)
+        known[_FIRST] = known[_BETWEEN + _FIRST] = _STOP
+        self._learn([p for p in {*pieces} if p not in known])
+        ids = np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
+        ending = ids == 0xFFFFFFFF
+        lengths, ids = np.diff(np.flatnonzero(ending)) - 1, ids[~ending]
+        place = np.where(plain, np.cumsum(plain), plain.sum() + np.cumsum(~plain)) - 1
+        if odd:
+            rest = [p[1:] if p[0] == _FIRST else " " + p for p in compress(parts, ~plain)]
+            new = [p for p in rest if p not in self.odd]
+            self.odd.learn(new, self._library(new))
+            more = [self.odd[p] for p in rest]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(more), "<u4")])
+            lengths = np.concatenate([lengths, np.fromiter(map(len, more), np.int64, len(more)) // 4])
+        return place, ids, lengths
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pre-tokens. Words behind a space go to the library as one text, where each begins with a space's token."""
+        words, rest = [], []
+        for p in new:
+            (words if p[0] == " " and p[-1].isalpha() else rest).append(p)
         for start in range(0, len(words), 5000):
             some = words[start : start + 5000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
             begins = np.flatnonzero(self.spaced[ids]) * 4
             if len(begins) != len(some):
                 raise ValueError("this vocabulary does not begin words with their space")
             plain, cuts = ids.tobytes(), [*begins.tolist(), 4 * len(ids)]
-            self.chunks.learn(some, [plain[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+            self.words.learn(some, [plain[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        self.words.learn(rest, self._library(rest))
 
     @staticmethod
     def _odd(text: str) -> bool:
@@ -141,6 +155,20 @@ def encoder(source: bytes) -> ByteLevelEncoder:
     return common.kept_tool("bytes", source, ByteLevelEncoder)
 
 
+def _gathered(batches):
+    """(doc_ids, texts) of as many batches as have ENCODED_BYTES together."""
+    numbers, texts, size = [], [], 0
+    for batch in batches:
+        numbers += batch.column(0).to_pylist()
+        texts += [t or "" for t in batch.column(1).to_pylist()]
+        size += batch.column(1).nbytes
+        if size >= ENCODED_BYTES:
+            yield numbers, texts
+            numbers, texts, size = [], [], 0
+    if numbers:
+        yield numbers, texts
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of every text, ``end_id`` after each document, as shards in ``path``, in ascending doc_id order.
 
@@ -171,9 +199,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
                 data = simple8b.write_shard(part, shard, ids, lengths, np.concatenate(coded))
                 return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["shard"])
 
-            for batch in common.batches(record_batches, "text", ENCODED_BYTES):
-                numbers = batch.column(0).to_pylist()
-                for doc_id, code in zip(numbers, tool.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for numbers, texts in _gathered(common.batches(record_batches, "text", ENCODED_BYTES)):
+                for doc_id, code in zip(numbers, tool.encode(texts), strict=True):
                     if ids and size + len(code) + 1 > shard_ids:
                         yield flush()
                         ids, coded, size, shard = [], [], 0, shard + 1
