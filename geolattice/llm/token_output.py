@@ -45,7 +45,7 @@ _RARE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not i
 
 
 class ByteLevelEncoder:
-    """The library's ids of whole texts, as little-endian uint32 bytes; each distinct chunk is encoded once."""
+    """The library's ids of whole texts, as little-endian uint32 numbers; each distinct pre-token is encoded once."""
 
     def __init__(self, source: bytes):
         import json
