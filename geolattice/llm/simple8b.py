@@ -39,11 +39,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grid[-1, : lengths[-1]] = ids[BLOCK * (blocks - 1) :]
     flat = grid.reshape(-1)
     bits = _bit_lengths(flat)
+    near = _near(bits)
     live, cursor = np.arange(blocks), np.zeros(blocks, np.int64)
     begun = np.zeros(len(flat), np.int8)  # at the first value of each word: its selector and 1
     while len(live):
         start = live * stride + cursor
-        selector = _choose(bits, start)
+        selector = near[start].astype(np.int64)
+        more = np.flatnonzero(selector < 0)
+        if len(more):
+            selector[more] = _choose(bits, start[more])
         begun[start] = selector + 1
         cursor = cursor + COUNTS[selector]
         on = cursor < lengths[live]
@@ -84,6 +88,18 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
     return _widths_of(values)
 
 
+def _near(bits: np.ndarray) -> np.ndarray:
+    """What ``_choose`` gives for a word at each place, where few values decide; -1 where more have to be looked at."""
+    most, selector = bits.copy(), np.full(len(bits), 14, np.int8)
+    for s in range(13, 7, -1):  # where more values fit, fewer do as well
+        shift = int(COUNTS[s]) - 1
+        np.maximum(most[: len(bits) - shift], bits[shift:], out=most[: len(bits) - shift])
+        selector -= (most <= WIDTHS[s]).view(np.int8)
+    selector[selector == 8] = -1
+    selector[bits > WIDTHS[14]] = 0
+    return selector
+
+
 def _choose(bits: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The selector with most values whose widths all hold, for a word that begins at each of ``start``."""
     most = np.maximum.accumulate(bits[start[:, None] + np.arange(_NEAR)], axis=1)

@@ -12,18 +12,19 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, simple8b
+from .word_bpe import _BYTES
 
 #: Ids in a shard, but for a longer document, which is not cut.
 SHARD_IDS = 1 << 21
-#: Bytes of pre-tokens that a worker remembers, and a quarter of it of odd chunks; it starts anew beyond.
-REMEMBERED = 120_000_000
+#: Bytes of chunks and of pre-tokens that a worker remembers, half of it each; either starts anew beyond.
+REMEMBERED = 80_000_000
 #: Text bytes that are encoded at once, about: the more, the fewer distinct chunks to each of them.
 ENCODED_BYTES = 12_000_000
 #: What Spark's writer puts after each record; read_shard ignores it.
@@ -31,19 +32,58 @@ END = "S8BEND\n"
 #: Stands in front of a text, and behind a chunk; a text that holds it goes to the library as a whole.
 _FIRST = "\x00"
 _BETWEEN = _FIRST + " "
-#: How a vocabulary of bytes writes a space.
-_SPACE = "\u0120"
 #: Letters of plain chunks, letters and digits in any version of Unicode, and what byte-level pre-tokenisers make of these.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
 _ODD = re.compile(f"[^\\n\x00 -~{_LETTERS}]")
 _PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\n\x00 0-9{_LETTERS}]+|\\n+(?![^\\n\x00])|\\n|\x00(?: \x00)?")
+#: How a vocabulary of bytes writes each of them.
+_ALPHABET = np.array([_BYTES.get(b, b) for b in range(256)], "<u2")
 #: Ends a chunk's ids: no id of a vocabulary.
-_STOP = np.array([0xFFFFFFFF], "<u4").tobytes()
+_STOP = 0xFFFFFFFF
 #: Where a space stands beside another or a line break, and the rarer white space.
 _BESIDE = ("  ", " \n", "\n ")
 _RARE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + ("\u180e", "\u200b", "\ufeff")
 
 
+class Known:
+    """Ids of parts of texts, in Arrow and numpy: no Python object for each part. Beyond ``most()`` bytes it starts anew."""
+
+    def __init__(self, most, stops=()):
+        self.most, self.stops = most, stops
+        self.clear()
+
+    def clear(self) -> None:
+        import pyarrow as pa
+
+        self.parts = pa.array(self.stops, pa.large_string())
+        self.ids, self.lengths = np.full(len(self.stops), _STOP, "<u4"), np.ones(len(self.stops), np.int32)
+
+    def make_room(self) -> None:
+        if self.parts.nbytes + self.ids.nbytes + self.lengths.nbytes > self.most():
+            self.clear()
+
+    def places(self, parts) -> np.ndarray:
+        """The number of each of these distinct parts, -1 where it is not known."""
+        import pyarrow.compute as pc
+
+        # The table to look up in is of the distinct parts of a batch, which are fewer than those known.
+        at, out = pc.index_in(self.parts, value_set=parts), np.full(len(parts), -1, np.int64)
+        out[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        return out
+
+    def learn(self, parts, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers of new parts, whose ids lie one after another."""
+        import pyarrow as pa
+
+        first = len(self.parts)
+        self.parts = pa.concat_arrays([self.parts, parts])
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths.astype(np.int32)])
+        return np.arange(first, len(self.parts))
+
+    def spread(self, places: np.ndarray):
+        return common.spread(places, self.ids, self.lengths.astype(np.int64))
+
+
 class ByteLevelEncoder:
     """The library's ids of whole texts, as little-endian uint32 numbers; each distinct pre-token is encoded once."""
 
@@ -62,13 +102,9 @@ class ByteLevelEncoder:
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not strips
         #: The special strings of the vocabulary, which are found before anything else.
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        #: The ids of pre-tokens, as bytes, and of chunks that the library has to split.
-        self.words = common.Remembered(lambda: REMEMBERED)
-        self.odd = common.Remembered(lambda: REMEMBERED // 4)
-        #: Which ids begin with a space.
-        self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
-        for token, i in self.tok.get_vocab().items():
-            self.spaced[i] = token.startswith(_SPACE)
+        #: The ids of chunks, and of the pre-tokens of new ones.
+        self.chunks = Known(lambda: REMEMBERED // 2)
+        self.words = Known(lambda: REMEMBERED // 2, [_FIRST, _BETWEEN + _FIRST])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Distinct chunks are found in Arrow, and only new ones are encoded."""
@@ -82,11 +118,11 @@ class ByteLevelEncoder:
                 (plain if self.cuts and not self._odd(t) else rest).append(i)
         if plain:
             # A mark in front of a text tells its first chunk, which no space precedes, from the others.
-            marked = pa.array([_FIRST + texts[i] for i in plain], pa.large_string())
-            codes, parts, offsets = common.distinct_parts(pc.split_pattern(marked, " "))
-            place, known, lengths = self._distinct(parts)
-            ids, ends = common.spread(place[codes], known, lengths)
-            bounds = np.concatenate([[0], ends])[offsets].tolist()
+            lists = pc.split_pattern(pa.array([_FIRST + texts[i] for i in plain], pa.large_string()), " ")
+            coded = lists.flatten().dictionary_encode()
+            place = self._places(coded.dictionary)
+            ids, ends = self.chunks.spread(place[coded.indices.to_numpy()])
+            bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
             for k, i in enumerate(plain):
                 out[i] = ids[bounds[k] : bounds[k + 1]]
         # White space in runs: the library gets whole texts.
@@ -94,10 +130,24 @@ class ByteLevelEncoder:
             out[i] = np.frombuffer(code, "<u4")
         return out
 
-    def _distinct(self, parts: list[str]):
-        """(place of each chunk, ids, number of ids): ids lie one after another in the order of places."""
+    def _places(self, parts) -> np.ndarray:
+        """The number of each distinct chunk; Python touches new ones only."""
+        import pyarrow as pa
+
+        self.chunks.make_room()
         self.words.make_room()
-        self.odd.make_room()
+        place = self.chunks.places(parts)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            order, ids, lengths = self._split(parts.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
+            new = new[order]
+            place[new] = self.chunks.learn(parts.take(pa.array(new)), ids, lengths)
+        return place
+
+    def _split(self, parts: list[str]):
+        """(order, ids, number of ids) of new chunks: ids lie one after another, in this order of the chunks."""
+        import pyarrow as pa
+
         # Chunks with the space before them, between marks; the first one of a text has a mark in that space's place.
         joined = _BETWEEN + _BETWEEN.join(parts) + _FIRST
         odd = {m.start() for m in _ODD.finditer(joined)}
@@ -111,36 +161,28 @@ class ByteLevelEncoder:
             ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + len(_BETWEEN))
             plain[np.searchsorted(ends, np.array([*odd]), side="right")] = False
             joined = _BETWEEN + _BETWEEN.join(compress(parts, plain)) + _FIRST if plain.any() else _FIRST
-        known, pieces = self.words, _PLAIN.findall(joined)
-        known[_FIRST] = known[_BETWEEN + _FIRST] = _STOP
-        self._learn([p for p in {*pieces} if p not in known])
-        ids = np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
-        ending = ids == 0xFFFFFFFF
+        coded = pa.array(_PLAIN.findall(joined), pa.large_string()).dictionary_encode()
+        place = self.words.places(coded.dictionary)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            words = coded.dictionary.take(pa.array(new))
+            place[new] = self.words.learn(words, *self._encode(words.to_numpy(zero_copy_only=False).tolist()))
+        ids, _ = self.words.spread(place[coded.indices.to_numpy()])
+        ending = ids == _STOP
         lengths, ids = np.diff(np.flatnonzero(ending)) - 1, ids[~ending]
-        place = np.where(plain, np.cumsum(plain), plain.sum() + np.cumsum(~plain)) - 1
         if odd:
-            rest = [p[1:] if p[0] == _FIRST else " " + p for p in compress(parts, ~plain)]
-            new = [p for p in rest if p not in self.odd]
-            self.odd.learn(new, self._library(new))
-            more = [self.odd[p] for p in rest]
+            more = self._library([p[1:] if p[0] == _FIRST else " " + p for p in compress(parts, ~plain)])
             ids = np.concatenate([ids, np.frombuffer(b"".join(more), "<u4")])
             lengths = np.concatenate([lengths, np.fromiter(map(len, more), np.int64, len(more)) // 4])
-        return place, ids, lengths
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pre-tokens. Words behind a space go to the library as one text, where each begins with a space's token."""
-        words, rest = [], []
-        for p in new:
-            (words if p[0] == " " and p[-1].isalpha() else rest).append(p)
-        for start in range(0, len(words), 5000):
-            some = words[start : start + 5000]
-            ids = np.array(self.tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            begins = np.flatnonzero(self.spaced[ids]) * 4
-            if len(begins) != len(some):
-                raise ValueError("this vocabulary does not begin words with their space")
-            plain, cuts = ids.tobytes(), [*begins.tolist(), 4 * len(ids)]
-            self.words.learn(some, [plain[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
-        self.words.learn(rest, self._library(rest))
+        return np.argsort(~plain, kind="stable"), ids, lengths
+
+    def _encode(self, words: list[str]):
+        """(ids, number of ids) of plain pre-tokens: the library's model takes them in the byte alphabet, without splitting."""
+        tokenize = self.tok.model.tokenize
+        names = _ALPHABET[np.frombuffer(_FIRST.join(words).encode(), np.uint8)].tobytes().decode("utf-16-le").split(chr(_ALPHABET[ord(_FIRST)]))
+        codes = [[t.id for t in tokenize(name)] for name in names]
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+        return np.fromiter(chain.from_iterable(codes), "<u4", int(lengths.sum())), lengths
 
     @staticmethod
     def _odd(text: str) -> bool:

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import struct
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,6 +87,48 @@ def test_plain_chunks_are_split_once(library):
     assert len(asked) == len({*asked}) and not any("'word" in p or " " in p[1:] for p in asked)
 
 
+def test_known_chunks_are_not_split_again(library, monkeypatch):
+    rnd, tok = random.Random(5), library["byte_bpe_50k.json"]
+    draw = lambda n: " ".join(rnd.choice("aé1,") + "".join(rnd.choices("abcdeéßž.,'19\n", k=rnd.randint(0, 5))) + rnd.choice("bß2.") for _ in range(n))
+    texts = [draw(30) for _ in range(200)]
+    ids = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    encoder = token_output.ByteLevelEncoder(read("byte_bpe_50k.json"))
+    # Plain pre-tokens go to the library's model as they are: whole texts of them are not split by it.
+    encoder.tok = types.SimpleNamespace(model=encoder.tok.model, encode_batch=lambda rest, **_: [pytest.fail("split") for _ in rest])
+    assert [x.tolist() for x in encoder.encode(texts)] == ids
+    monkeypatch.setattr(token_output, "_PLAIN", None)
+    assert [x.tolist() for x in encoder.encode(texts[::-1])] == ids[::-1]
+
+
+def test_known_parts():
+    rnd, known, ids = random.Random(6), token_output.Known(lambda: 3000, ["stop"]), {"stop": [0xFFFFFFFF]}
+    began = 0
+    for _ in range(60):
+        known.make_room()
+        if len(known.parts) == 1:
+            began, ids = began + 1, {"stop": ids["stop"]}
+        parts = pa.array(sorted({rnd.choice(["stop", "", "\u4e2d"]), *("x" * rnd.randint(0, 60) for _ in range(9))}), pa.large_string())
+        place = known.places(parts)
+        assert [p >= 0 for p in place] == [p in ids for p in parts.to_pylist()]
+        new = parts.filter(pa.array(place < 0))
+        codes = [[rnd.randrange(60000) for _ in range(rnd.randint(0, 4))] for _ in new]
+        place[place < 0] = known.learn(new, np.array([i for c in codes for i in c], "<u4"), np.array([*map(len, codes)], np.int64))
+        ids |= zip(new.to_pylist(), codes, strict=True)
+        got, ends = known.spread(place)
+        assert [x.tolist() for x in np.split(got, ends[:-1])] == [ids[p] for p in parts.to_pylist()]
+    assert began > 2
+
+
+def test_first_values_decide():
+    rnd = np.random.default_rng(7)
+    for most in (2, 7, 12, 17, 65):
+        bits = simple8b._widths_of(rnd.integers(0, 2**63, 4000, np.uint64) >> rnd.integers(64 - most, 64, 4000).astype(np.uint64))
+        bits = np.concatenate([bits, np.full(9, 64, np.int8), np.zeros(int(simple8b.COUNTS.max()), np.int8)])
+        near, start = simple8b._near(bits), np.arange(4009)
+        chosen = simple8b._choose(bits, start)
+        assert (near[start][near[start] >= 0] == chosen[near[start] >= 0]).all() and ((near[start] < 0) == ((chosen < 9) & (chosen > 0) | (chosen == 15))).all()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 2), st.integers(0, 50256), st.integers(0, 2**64 - 1)), max_size=3000), st.integers(0, 9))
 def test_words_round_trip(ids, _):
