@@ -47,8 +47,13 @@ def with_rowkey(df: DataFrame, *, lon_col: str = "lon", lat_col: str = "lat", ro
 
 
 def read_points(spark: SparkSession, path: str, *, on_duplicate: str = "last", strict: bool = True) -> DataFrame:
-    """Point files, keyed by geohash, one row for each key: the last line written, the first, or a merge of cells."""
+    """Point files, keyed by geohash, one row for each key: the last line written, the first, or a merge of cells.
+
+    With ``keep`` every line stays a row, also where lines share a key.
+    """
     rows = with_rowkey(with_coordinates(read_delimited(spark, path), strict=strict))
+    if on_duplicate == "keep":
+        return rows.drop("seq")
     return collapse(rows, "rowkey", "seq", on_duplicate).drop("seq")
 
 
