@@ -49,6 +49,24 @@ def key_bin(key: Column | str, offset: int, length: int) -> Column:
     return F.substring(_col(key), offset + 1, length)
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """The number of so many places that is nearest to the exact value of a double, as C prints it; halves go to even.
+
+    Java's formats round the shortest text of a double instead: the double of -73.98495 lies above it and gives -73.9849
+    here, -73.9850 there. The product with a power of ten is taken with its error, as only that tells halves from the rest.
+    """
+    v, ten = _col(value), float(10**places)
+    size = F.abs(v)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    product = size * ten
+    error = (high * ten - product) + (size - high) * ten
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    near = (whole + up.cast("long")).cast("double") / ten
+    return F.when((size > 0) & (product < 2.0**52), F.when(v < 0, -near).otherwise(near)).otherwise(v)
+
+
 def match_line(id_: Column | str, key: Column | str, lon: Column | str, lat: Column | str, distance: Column | str) -> Column:
     """One line of text for a match, in fixed widths."""
     return F.format_string("<QueryMatch: %4s, %12s, %3.4f, %3.4f, %2.5f >", _col(id_), _col(key), _col(lon), _col(lat), _col(distance))

@@ -67,9 +67,14 @@ def _at_least_one(k: int) -> int:
     return k
 
 
-def knn_exact(df: DataFrame, lon: float, lat: float, k: int, *, lon_col: str = "lon", lat_col: str = "lat", rowkey_col: str = "rowkey") -> DataFrame:
-    """The k nearest rows, nearest first; equal distances go by key. Each task keeps k rows, then these are merged."""
-    return with_distance(df, lon, lat, lon_col=lon_col, lat_col=lat_col).orderBy("distance", rowkey_col).limit(_at_least_one(k))
+def _nearest_first(rowkey_col: str, id_col: str | None) -> list[str]:
+    """Equal distances go by key, and rows of one key by id; without one, which of them come first is left open."""
+    return ["distance", rowkey_col, *([] if id_col is None else [id_col])]
+
+
+def knn_exact(df: DataFrame, lon: float, lat: float, k: int, *, lon_col: str = "lon", lat_col: str = "lat", rowkey_col: str = "rowkey", id_col: str | None = None) -> DataFrame:
+    """The k nearest rows, nearest first; equal distances go by key, then id. Each task keeps k rows, then these are merged."""
+    return with_distance(df, lon, lat, lon_col=lon_col, lat_col=lat_col).orderBy(*_nearest_first(rowkey_col, id_col)).limit(_at_least_one(k))
 
 
 def knn_by_cells(df: DataFrame, lon: float, lat: float, k: int, *, precision: int = KNN_PRECISION, lon_col: str = "lon", lat_col: str = "lat", rowkey_col: str = "rowkey") -> DataFrame:
