@@ -77,10 +77,12 @@ def knn_exact(df: DataFrame, lon: float, lat: float, k: int, *, lon_col: str = "
     return with_distance(df, lon, lat, lon_col=lon_col, lat_col=lat_col).orderBy(*_nearest_first(rowkey_col, id_col)).limit(_at_least_one(k))
 
 
-def knn_by_cells(df: DataFrame, lon: float, lat: float, k: int, *, precision: int = KNN_PRECISION, lon_col: str = "lon", lat_col: str = "lat", rowkey_col: str = "rowkey") -> DataFrame:
+def knn_by_cells(
+    df: DataFrame, lon: float, lat: float, k: int, *, precision: int = KNN_PRECISION, lon_col: str = "lon", lat_col: str = "lat", rowkey_col: str = "rowkey", id_col: str | None = None
+) -> DataFrame:
     """The k nearest of the rows in the cell of the point and those around it: fewer than k where these hold fewer."""
     on_globe(lon, lat)
-    return knn_exact(df.where(has_prefix(rowkey_col, knn_cells(lon, lat, precision))), lon, lat, k, lon_col=lon_col, lat_col=lat_col, rowkey_col=rowkey_col)
+    return knn_exact(df.where(has_prefix(rowkey_col, knn_cells(lon, lat, precision))), lon, lat, k, lon_col=lon_col, lat_col=lat_col, rowkey_col=rowkey_col, id_col=id_col)
 
 
 def knn_per_region(df: DataFrame, lon: float, lat: float, k: int, *, region: Column | None = None, lon_col: str = "lon", lat_col: str = "lat", rowkey_col: str = "rowkey") -> DataFrame:
