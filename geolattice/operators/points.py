@@ -92,16 +92,18 @@ def knn_per_region(df: DataFrame, lon: float, lat: float, k: int, *, region: Col
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy("distance", rowkey_col))).where(F.col("rank") <= _at_least_one(k))
 
 
-def nearest_per_cell(df: DataFrame, lon: float, lat: float, k: int, *, precision: int = KNN_PRECISION, lon_col: str = "lon", lat_col: str = "lat", rowkey_col: str = "rowkey") -> DataFrame:
+def nearest_per_cell(
+    df: DataFrame, lon: float, lat: float, k: int, *, precision: int = KNN_PRECISION, lon_col: str = "lon", lat_col: str = "lat", rowkey_col: str = "rowkey", id_col: str | None = None
+) -> DataFrame:
     """The k nearest rows of each cell around the point, with their ``cell`` and ``rank``, before any merge."""
     inside = df.where(has_prefix(rowkey_col, knn_cells(lon, lat, precision)))
     near = with_distance(inside, lon, lat, lon_col=lon_col, lat_col=lat_col).withColumn("cell", F.substring(rowkey_col, 1, precision))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("distance", rowkey_col))).where(F.col("rank") <= _at_least_one(k))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy(*_nearest_first(rowkey_col, id_col)))).where(F.col("rank") <= _at_least_one(k))
 
 
-def merge_nearest(parts: DataFrame, k: int, *, rowkey_col: str = "rowkey") -> DataFrame:
+def merge_nearest(parts: DataFrame, k: int, *, rowkey_col: str = "rowkey", id_col: str | None = None) -> DataFrame:
     """The k nearest rows of partial results that have a ``distance``."""
-    return parts.orderBy("distance", rowkey_col).limit(_at_least_one(k))
+    return parts.orderBy(*_nearest_first(rowkey_col, id_col)).limit(_at_least_one(k))
 
 
 def as_candidates(df: DataFrame, by: str | None = None, *columns: str) -> DataFrame:
